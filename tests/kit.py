@@ -2,7 +2,9 @@
 
 from decimal import Decimal
 
+import pyarrow as pa
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tideledger.params import AsOf, Registry
 from tideledger.schema import AMOUNT_COLUMNS, EVENT, MARK
@@ -53,8 +55,8 @@ def frame(spark, rows, schema=EVENT):
             return Decimal(value)
         return value
 
-    data = [tuple(cell(f, r.get(f.name)) for f in schema.fields) for r in rows]
-    return spark.createDataFrame(data, schema)
+    data = [{f.name: cell(f, r.get(f.name)) for f in schema.fields} for r in rows]
+    return spark.createDataFrame(pa.Table.from_pylist(data, schema=to_arrow_schema(schema)))
 
 
 def marks_frame(spark, rows):

@@ -8,6 +8,10 @@ equality join on (market, bucket); the funding of an interval is then
 ``signed lot * (total at its end - total at its start)``.  Work grows with
 events, not with events times payments, and one busy market spreads over its
 buckets.
+
+Windows over one market run on funding publications and payments only.  Their
+number is bounded by the market's history divided by the funding interval (one
+pending payment at a time), whatever the number of accounts and trades.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from pyspark.sql import functions as F
 from tideledger.functions.exact import Q16, UNIT_DIGITS, dec, pow10, units_from_native
 from tideledger.operators.checks import exploded, with_event_id
 from tideledger.operators.ledger import ORDER, POSITION, kind_is, position_history, sequence, signed_lot
-from tideledger.operators.running import HOT_ROWS, running
+from tideledger.operators.running import HOT_ROWS
 from tideledger.params import AsOf, FundingScope, Registry
 from tideledger.schema import FUNDING_KINDS, SETTLE_KINDS
 
@@ -32,16 +36,13 @@ def funding_inputs(events: DataFrame, as_of: AsOf) -> DataFrame:
 def publications(events: DataFrame, as_of: AsOf) -> DataFrame:
     """Funding publications with the scale in force when they were published."""
     is_scale = kind_is("funding_scale_updated")
-    scaled = running(
-        funding_inputs(events, as_of),
-        ["perpetual_id"],
-        ORDER,
-        lasts={
-            "scale_exp": F.when(is_scale, F.col("funding_scaling_exp")),
-            "scale_event_id": F.when(is_scale, F.col("event_id")),
-            "scale_block": F.when(is_scale, F.col("block_number")),
-        },
-        sums={"scale_changes": F.when(is_scale, F.lit(1))},
+    upto = Window.partitionBy("perpetual_id").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    scaled = funding_inputs(events, as_of).withColumns(
+        {
+            "scale_exp": F.last(F.when(is_scale, F.col("funding_scaling_exp")), True).over(upto),
+            "scale_event_id": F.last(F.when(is_scale, F.col("event_id")), True).over(upto),
+            "scale_changes": F.count(F.when(is_scale, F.lit(1))).over(upto),
+        }
     )
     return scaled.where(kind_is("market_funding"))
 
@@ -60,16 +61,9 @@ def timeline_rows(events: DataFrame, as_of: AsOf) -> DataFrame:
         F.coalesce("funding_allow_overwrite", F.lit(False)).alias("allow"),
         "scale_changes",
     )
-    return running(
-        pubs,
-        ["perpetual_id"],
-        ORDER,
-        before={
-            "prev_target": F.col("target"),
-            "prev_payment": F.col("payment"),
-            "prev_total": F.col("total"),
-            "prev_scale_changes": F.col("scale_changes"),
-        },
+    in_order = Window.partitionBy("perpetual_id").orderBy(*ORDER)
+    return pubs.withColumns(
+        {f"prev_{c}": F.lag(c).over(in_order) for c in ("target", "payment", "total", "scale_changes")}
     )
 
 
@@ -165,15 +159,13 @@ def funding_schedule(events: DataFrame, registry: Registry, as_of: AsOf, scope:
         "perpetual_id", "effective_block", "event_id", F.col("block_number").alias("published_block"),
         "payment_pns", "scale_exp", "scale_event_id", per_lot.alias("per_lot_u"), unknown.alias("unit_unknown"),
     )
-    return running(
-        priced,
-        ["perpetual_id"],
-        ["effective_block"],
-        sums={
-            "total_u": F.col("per_lot_u"),
-            "unknown_units": F.when(F.col("unit_unknown"), F.lit(1)),
-            "ordinal": F.lit(1),
-        },
+    upto = Window.partitionBy("perpetual_id").orderBy("effective_block").rowsBetween(Window.unboundedPreceding, 0)
+    return priced.withColumns(
+        {
+            "total_u": F.coalesce(F.sum("per_lot_u").over(upto), dec(0)),
+            "unknown_units": F.count(F.when(F.col("unit_unknown"), F.lit(1))).over(upto),
+            "ordinal": F.count(F.lit(1)).over(upto),
+        }
     )
 
 
@@ -198,15 +190,21 @@ def funding_calendar(schedule: DataFrame, as_of: AsOf) -> DataFrame:
     bucket = F.floor(F.col("effective_block") / BUCKET_BLOCKS).cast("long")
     filled = due.groupBy("perpetual_id", bucket.alias("bucket")).agg(F.array_sort(F.collect_list(item)).alias("items"))
     last_bucket = as_of.block_number // BUCKET_BLOCKS
-    every = filled.groupBy("perpetual_id").agg(F.min("bucket").alias("first")).select(
-        "perpetual_id", F.explode(F.sequence(F.col("first"), F.lit(last_bucket))).alias("bucket")
-    )
-    earlier = Window.partitionBy("perpetual_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    return every.join(filled, ["perpetual_id", "bucket"], "left").select(
+    in_order = Window.partitionBy("perpetual_id").orderBy("bucket")
+    spread = filled.select(
+        "perpetual_id",
+        F.col("bucket").alias("filled_bucket"),
+        "items",
+        F.lag(F.element_at("items", -1)).over(in_order).alias("before_items"),
+        # Empty buckets up to the next filled one repeat the last total.
+        F.sequence(F.col("bucket"), F.coalesce(F.lead("bucket").over(in_order) - 1, F.lit(last_bucket))).alias("buckets"),
+    ).withColumn("bucket", F.explode("buckets"))
+    own = F.col("bucket") == F.col("filled_bucket")
+    return spread.select(
         "perpetual_id",
         "bucket",
-        F.last(F.element_at("items", -1), True).over(earlier).alias("base"),
-        F.col("items"),
+        F.when(own, F.col("before_items")).otherwise(F.element_at("items", -1)).alias("base"),
+        F.when(own, F.col("items")).alias("items"),
     )
 
 
@@ -239,7 +237,7 @@ def funded_history(
         with_event_id(events.where(F.col("account_id").isNotNull() & F.col("perpetual_id").isNotNull())),
         funding_calendar(schedule, as_of),
     )
-    history = position_history(position_rows, as_of, extra=list(TOTALS), hot_rows=hot_rows)
+    history = position_history(position_rows, as_of, extra=list(TOTALS), counted=events, hot_rows=hot_rows)
     # One row per listed market of the registry, whose size is checked.
     history = history.join(F.broadcast(cutoff_totals(schedule, as_of)), "perpetual_id", "left")
     history = history.join(F.broadcast(baselines(schedule)), "perpetual_id", "left")

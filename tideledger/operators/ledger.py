@@ -73,6 +73,7 @@ def set_values() -> dict[str, Column]:
         "opened_block": F.when(kind_is("position_opened"), F.col("block_number")),
         "ended_block": F.when(status != "open", F.col("block_number")),
         "last_event_id": F.when(~kind_is("collateral_increased", "collateral_decreased"), F.col("event_id")),
+        "last_event_ms": F.when(~kind_is("collateral_increased", "collateral_decreased"), F.col("timestamp_ms")),
     }
 
 
@@ -101,7 +102,12 @@ HISTORY_EVENT = ["chain_id", *POSITION, *ORDER, "timestamp_ms", "event_id", "kin
 
 
 def position_history(
-    events: DataFrame, as_of: AsOf, *, extra: list[str] | None = None, hot_rows: int = HOT_ROWS
+    events: DataFrame,
+    as_of: AsOf,
+    *,
+    extra: list[str] | None = None,
+    counted: DataFrame | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """State of a position after each of its events, with the state before it.
 
@@ -129,6 +135,7 @@ def position_history(
         before={f"prev_{n}": F.col(f"set_{n}") for n in ("lot_lns", "deposit_cns", "side", "status")},
         leads={"next_block": F.col("block_number")} | {f"next_{c}": F.col(c) for c in extra},
         hot_rows=hot_rows,
+        counted=position_events(events if counted is None else counted, as_of),
     )
     full = full.drop(*[f"set_{n}" for n in sets], *[f"add_{n}" for n in adds], "add_span")
     return _finish(full)

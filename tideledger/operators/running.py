@@ -6,8 +6,9 @@ its own window; a per-range summary (partial sums, last and first values) is
 scanned once and carried into the rows of the later ranges.  Keys below the
 limit keep a single range, so they cost one shuffle, as a plain window does.
 
-The table of hot keys is broadcast: it has at most ``rows / hot_rows`` rows
-by construction.
+Whether any hot key exists is asked first with one column-pruned, map-side
+combined count; without one the plan is a single plain window.  The table of
+hot keys is broadcast: it has at most ``rows / hot_rows`` rows by construction.
 """
 
 from __future__ import annotations
@@ -28,6 +29,11 @@ def hot_ranges(df: DataFrame, keys: list[str], axis: str, hot_rows: int) -> Data
     return stats.where(F.col("_n") > hot_rows).select(*keys, "_lo", width.alias("_width"))
 
 
+def has_hot_key(df: DataFrame, keys: list[str], axis: str, hot_rows: int) -> bool:
+    """One flag reaches the driver, never the keys themselves."""
+    return bool(hot_ranges(df.select(*keys, axis), keys, axis, hot_rows).select(F.lit(1)).take(1))
+
+
 def running(
     df: DataFrame,
     keys: list[str],
@@ -38,6 +44,7 @@ def running(
     before: dict[str, Column] | None = None,
     leads: dict[str, Column] | None = None,
     hot_rows: int = HOT_ROWS,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Add ordered columns per key; ``order[0]`` must be an integer axis.
 
@@ -45,11 +52,16 @@ def running(
     lasts:  last non-null value up to and including the row
     before: last non-null value strictly before the row
     leads:  value of the next row of the key
+
+    ``counted`` may give the same keys and axis from before an expensive join.
     """
+    counted = df if counted is None else counted
     sums, lasts, before, leads = sums or {}, lasts or {}, before or {}, leads or {}
     inputs = {f"_in_{n}": e for part in (sums, lasts, before, leads) for n, e in part.items()}
     base = df.withColumns(inputs)
-    hot = hot_ranges(base, keys, order[0], hot_rows)
+    if not has_hot_key(counted, keys, order[0], hot_rows):
+        return _plain(df, base, keys, order, sums, lasts, before, leads)
+    hot = hot_ranges(counted.select(*keys, order[0]), keys, order[0], hot_rows)
     tagged = base.join(F.broadcast(hot), keys, "left").withColumn(
         "_range",
         F.when(
@@ -91,3 +103,14 @@ def running(
     for n in leads:
         result[n] = F.when(F.col("_is_last"), F.col(f"_carry_{n}")).otherwise(F.col(f"_out_{n}"))
     return joined.select(*df.columns, *[e.alias(n) for n, e in result.items()])
+
+
+def _plain(df, base, keys, order, sums, lasts, before, leads) -> DataFrame:
+    window = Window.partitionBy(*keys).orderBy(*order)
+    upto = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    prior = window.rowsBetween(Window.unboundedPreceding, -1)
+    result = {n: F.coalesce(F.sum(F.col(f"_in_{n}")).over(upto), F.lit(0)) for n in sums}
+    result |= {n: F.last(F.col(f"_in_{n}"), True).over(upto) for n in lasts}
+    result |= {n: F.last(F.col(f"_in_{n}"), True).over(prior) for n in before}
+    result |= {n: F.lead(F.col(f"_in_{n}")).over(window) for n in leads}
+    return base.select(*df.columns, *[e.alias(n) for n, e in result.items()])
