@@ -42,20 +42,32 @@ def scope_at(cut: AsOf) -> FundingScope:
 
 
 def history(spark, sf, cut: AsOf = b.CUT) -> DataFrame:
-    return funding.funded_history(b.book(spark, sf), b.REGISTRY, cut, scope_at(cut))
+    return b.planned(spark, ("history", sf, cut), lambda: _history(spark, sf, cut))
 
 
 def positions(spark, sf, cut: AsOf = b.CUT) -> DataFrame:
     """Funded and priced positions of the book at a cutoff."""
+    return b.planned(spark, ("positions", sf, cut), lambda: _positions(spark, sf, cut))
+
+
+def plain_positions(spark, sf, cut: AsOf = b.CUT) -> DataFrame:
+    """Priced positions without funding: one aggregation over the events."""
+    return b.planned(spark, ("plain", sf, cut), lambda: _plain_positions(spark, sf, cut))
+
+
+def _history(spark, sf, cut: AsOf) -> DataFrame:
+    return funding.funded_history(b.book(spark, sf), b.REGISTRY, cut, scope_at(cut))
+
+
+def _positions(spark, sf, cut: AsOf) -> DataFrame:
     events = b.book(spark, sf)
-    rows = funding.funded_history(events, b.REGISTRY, cut, scope_at(cut))
+    rows = history(spark, sf, cut)
     unsettled = funding.unsettled_funding(rows, b.REGISTRY, scope_at(cut)).drop("baseline_block", "baseline_event_id")
     state = history_state(rows).drop("baseline_block", "baseline_event_id").join(unsettled, POSITION, "left")
     return accounting.price_positions(state, b.supplied_marks(events, cut), b.REGISTRY, cut)
 
 
-def plain_positions(spark, sf, cut: AsOf = b.CUT) -> DataFrame:
-    """Priced positions without funding: one aggregation over the events."""
+def _plain_positions(spark, sf, cut: AsOf) -> DataFrame:
     events = b.book(spark, sf)
     return accounting.price_positions(position_state(events, cut), b.supplied_marks(events, cut), b.REGISTRY, cut)
 

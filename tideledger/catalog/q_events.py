@@ -92,7 +92,7 @@ def as_of_filter(spark, sf):
   CASE WHEN kind IN ('maker_fill','position_opened') AND (lot_lns IS NULL OR log_index%5=0) THEN 'missing_lot_lns' END,
   CASE WHEN log_index%7=0 THEN 'bad_residue' END,
   CASE WHEN log_index%11=0 THEN 'blank_contract' END,
-  CASE WHEN kind='position_liquidated' THEN 'missing_position_type' END], x -> x IS NOT NULL)) AS violation FROM tape)
+  CASE WHEN kind='position_liquidated' THEN 'missing_position_type' END], lambda x: x IS NOT NULL)) AS violation FROM tape)
 SELECT kind, violation, count(*) AS events FROM bad GROUP BY 1,2""",
 )
 def validate_events(spark, sf):
@@ -265,7 +265,7 @@ def from_native(spark, sf):
 
 @query(
     "M2_margin_fraction",
-    q.with_book() + "SELECT CAST(perpetual_id AS BIGINT) AS perpetual_id, CAST(maint_margin_frac_hdths*1000000//100 AS BIGINT) AS inverse_ppm, CAST(100*1000000//maint_margin_frac_hdths AS BIGINT) AS rate_ppm, count(*) AS events FROM book JOIN mk USING (perpetual_id) GROUP BY 1,2,3",
+    q.with_book() + "SELECT CAST(perpetual_id AS BIGINT) AS perpetual_id, CAST(maint_margin_frac_hdths AS BIGINT)*1000000//100 AS inverse_ppm, CAST(100*1000000//maint_margin_frac_hdths AS BIGINT) AS rate_ppm, count(*) AS events FROM book JOIN mk USING (perpetual_id) GROUP BY 1,2,3",
 )
 def margin_fraction(spark, sf):
     rows = b.book(spark, sf).groupBy("perpetual_id").agg(F.count(F.lit(1)).alias("events")).join(b.REGISTRY.listed(spark), "perpetual_id")

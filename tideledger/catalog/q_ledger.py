@@ -77,7 +77,7 @@ SELECT violation, count(*) AS events FROM (SELECT unnest(list_filter([
  CASE WHEN kind='position_decreased' AND end_lot_lns>=plot THEN 'decrease_not_smaller' END,
  CASE WHEN kind='position_inverted' AND position_type=pside THEN 'inversion_keeps_side' END,
  CASE WHEN kind NOT IN ('position_opened','position_inverted') AND was AND position_type<>0 AND position_type<>pside THEN 'side_differs' END
-], x -> x IS NOT NULL)) AS violation FROM d) GROUP BY 1""",
+], lambda x: x IS NOT NULL)) AS violation FROM d) GROUP BY 1""",
 )
 def transition_checks(spark, sf):
     """The book with a third of its increases turned into order requests, so transitions break."""
@@ -412,7 +412,7 @@ SEEN_ROWS = [(i, w.id, w.start_ms if w.start_ms is not None else 0, w.complete)
 
 def flow_sql(windows, table="tape", block=b.TAPE_CUT.block_number, tag="") -> str:
     scale = "65536*CAST(10**(14-price_decimals-size_decimals) AS HUGEINT)"
-    return f"""win{tag} AS {q.values(windows, ['i', 'window', 'start_ms', 'complete'])},
+    return f"""win{tag} AS {q.values(windows, ['i', '"window"', 'start_ms', 'complete'])},
 fe{tag} AS (SELECT w."window", w.complete, t.* FROM {table} t JOIN win{tag} w ON t.timestamp_ms>=w.start_ms WHERE t.block_number<={block}),
 mf{tag} AS (SELECT f."window", f.complete, f.perpetual_id, mk.symbol,
   COALESCE(SUM(CASE WHEN kind='maker_fill' THEN CAST(price_pns AS HUGEINT)*lot_lns*{scale} END),0)//{CNS_UNITS} AS volume,
