@@ -180,3 +180,23 @@ def test_registry_and_context_evidence(spark):
     assert evidence.observation_violations(observed).count() == 0
     assert evidence.observation_violations(observed.unionByName(observed.limit(1))).count() == 1
     assert [r.violation for r in evidence.proof_mismatches(registered, observed).collect()] == ["price_decimals_differs"]
+
+
+def test_payload_text_provenance_and_hashes(spark):
+    from tideledger.functions.keys import canonical_payload
+    from tideledger.operators import signals
+
+    text = spark.range(1).select(canonical_payload(F.expr("map('b', '2', 'a', '1')")).alias("p")).first().p
+    assert text == '{"a":"1","b":"2"}'
+    rules = signals.rule_table(spark)
+    assert rules.count() == 9 and rules.select("rule_hash").distinct().count() == 9 and signals.rules_hash().startswith("sha256:")
+    row = raw("MarkUpdated", "MARK_UPDATED", dict(perpId=1, pricePNS="99"), log=1, perpetualId=1)
+    values = tuple(row[c.split()[0]] for c in raw_logs.RAW_SCHEMA.split(", "))
+    df, _ = raw_logs.project_raw_logs(spark.createDataFrame([values], raw_logs.RAW_SCHEMA))
+    profile = evidence.provenance_profile(df, kit.as_of(kit.DEPLOYED + 10)).first()
+    assert (profile.ingestion_profile, profile.events) == ("risk-hotpath-v3", 1)
+    observed = kit.registry().frame(spark)
+    context = evidence.observed_context(observed, 0, kit.as_of(kit.DEPLOYED + 10), 1_000)
+    assert context.where("stale").count() == 5 and context.select("row_hash").distinct().count() == 5
+    a, b = (evidence.checkpoint_hash(x, ["perpetual_id", "symbol"]).first().hash for x in (observed, observed.repartition(3)))
+    assert a == b

@@ -19,6 +19,7 @@ from tideledger.catalog.q_ledger import (
 )
 from tideledger.functions.exact import trunc_div
 from tideledger.operators import accounting, cohort, ledger, signals
+from tideledger.operators.analytics import market_state
 
 CUT, PREV = b.CUT, b.PREVIOUS
 
@@ -68,9 +69,13 @@ ORDER_SQL = "srank DESC, crank DESC, score_ppm DESC, signal_id"
 
 
 def report(spark, sf, cut=CUT):
+    return b.planned(spark, ("report", sf, cut), lambda: _report(spark, sf, cut))
+
+
+def _report(spark, sf, cut):
     rows = positions(spark, sf, cut)
     _, markets = book_flows(spark, sf, cut)
-    return signals.signal_report(rows, eligibility(spark, sf, cut), states(spark, sf, cut), markets.where("window = '24h'"), cut)
+    return signals.signal_report(rows, eligibility(spark, sf, cut), market_state(rows), markets.where("window = '24h'"), cut)
 
 
 def rule_query(name, rule_id):
@@ -128,6 +133,18 @@ def _placed(top):
     )
 
 
+@query(
+    "M15_grade",
+    q.with_book(*REPORT) + "SELECT rule_id, severity, count(*) AS signals, min(metric_ppm) AS lowest, max(metric_ppm) AS highest, CAST(max(score_ppm) AS BIGINT) AS top_score FROM sig WHERE metric_ppm IS NOT NULL GROUP BY 1,2",
+)
+def grades(spark, sf):
+    rows = report(spark, sf).where("metric_ppm is not null")
+    return rows.groupBy("rule_id", "severity").agg(
+        F.count(F.lit(1)).alias("signals"), F.min("metric_ppm").alias("lowest"), F.max("metric_ppm").alias("highest"),
+        F.max("score_ppm").alias("top_score"),
+    )
+
+
 @query("O3_top_signals", q.with_book(*REPORT) + f"SELECT signal_id, severity FROM sig ORDER BY {ORDER_SQL} LIMIT 3")
 def top_signals(spark, sf):
     return signals.top_signals(report(spark, sf)).select("signal_id", "severity")

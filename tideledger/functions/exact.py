@@ -24,14 +24,14 @@ PPM = 1_000_000
 def dec(value) -> Column:
     """A column or Python integer as ``decimal(38,0)``."""
     if isinstance(value, int):
-        return F.lit(Decimal(value)).cast(DEC)
+        return F.expr(f"cast('{value}' as decimal(38,0))")
     return (F.col(value) if isinstance(value, str) else value).cast(DEC)
 
 
 def pow10(exponent: Column) -> Column:
     """10**exponent for 0..28; any other exponent raises under ANSI mode."""
-    table = F.array(*[dec(10**n) for n in range(29)])
-    return F.element_at(table, exponent.cast("int") + 1)
+    powers = ", ".join(f"cast('{10**n}' as decimal(38,0))" for n in range(29))
+    return F.element_at(F.expr(f"array({powers})"), exponent.cast("int") + 1)
 
 
 def trunc_div(numerator: Column, denominator) -> Column:
