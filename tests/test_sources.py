@@ -157,6 +157,7 @@ def test_snapshot_and_export(spark, tmp_path):
     tables = snapshot.build_snapshot(events, kit.registry(), cut, Coverage(143, gen.DEPLOYED, cut.block_number))
     assert {r.severity: r.signals for r in tables["severity_counts"].collect()}["warning"] >= 1
     assert tables["manifest"].first().event_count == events.count()
+    snapshot.demo_walk(tables, 102)
     watch = snapshot.watchlist_snapshot(events, [102, 103, 105], kit.registry(), cut, Coverage(143, gen.DEPLOYED, cut.block_number))
     assert watch["wallets"].count() == 3 and watch["overlap"].count() == 3
     shuffled = events.repartition(5)

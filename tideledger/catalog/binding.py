@@ -309,8 +309,13 @@ def _book(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tape_rows(table(spark, sf_dir, "lineitem"))
+
+
+def tape_rows(lines: DataFrame) -> DataFrame:
+    """The tape from batch or streaming ``lineitem`` rows (projections only)."""
     day = F.expr(f"(unix_micros(cast(l_shipdate as timestamp)) div 1000 - {TAPE_T0_MS}) div {DAY_MS}")
-    rows = table(spark, sf_dir, "lineitem").withColumns(
+    rows = lines.withColumns(
         {
             "day": day,
             "tick": F.expr("(l_orderkey * 7 + l_linenumber) % 216000"),

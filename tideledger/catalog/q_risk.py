@@ -271,7 +271,7 @@ cs2 AS (SELECT *, CASE WHEN dep_u<>0 THEN CAST(not_u*1000000//dep_u AS BIGINT) E
 def stats(spark, sf):
     rows = positions(spark, sf)
     wallets = accounting.wallets(b.book(spark, sf), rows, b.REGISTRY, CUT)
-    return cohort.wallet_stats(wallets, rows, eligibility(spark, sf))
+    return cohort.wallet_stats(wallets, eligibility(spark, sf))
 
 
 @query("C1_wallet_stats", q.with_book(*COHORT) + f"SELECT account_id, open_positions, closed_positions, {u('not_u', 'open_notional')}, {u('dep_u', 'open_collateral')}, lev AS leverage_ppm, ret AS price_return_ppm, {big('fees', 'fees')} FROM cs2")

@@ -11,6 +11,7 @@ from tideledger.functions.exact import (
     UNIT_DIGITS,
     dec,
     known_sum,
+    known_sum_where,
     pow10,
     trunc_div,
     units_from_native,
@@ -234,6 +235,9 @@ def wallet_totals(positions: DataFrame) -> DataFrame:
         known_sum(F.col("unsettled_u")).alias("unsettled_u"),
         known_sum(F.col("total_pnl_u")).alias("total_pnl_u"),
         F.count(F.when(F.col("is_open"), F.lit(1))).alias("open_positions"),
+        F.count(F.when(F.col("status") != "open", F.lit(1))).alias("closed_positions"),
+        known_sum_where(F.col("is_open"), F.col("notional_u")).alias("open_notional_u"),
+        F.coalesce(F.sum(F.when(F.col("is_open"), F.col("deposit_u"))), dec(0)).alias("open_collateral_u"),
         F.count(F.lit(1)).alias("positions"),
         F.sum(F.size("warnings")).alias("warning_count"),
         F.bool_and(~F.col("is_open") | F.col("mark_pns").isNotNull()).alias("all_marked"),
@@ -248,8 +252,11 @@ def wallets(events: DataFrame, positions: DataFrame, registry: Registry, as_of:
         "account_id", "owner", units_from_native(F.col("balance_cns"), cns).alias("free_balance_u"), "last_event_id"
     )
     joined = accounts.join(wallet_totals(positions), "account_id", "left")
-    zero = ["realized_pnl_u", "realized_funding_u", "fees_u", "price_pnl_u", "unsettled_u", "total_pnl_u"]
-    counts = ["open_positions", "positions", "warning_count"]
+    zero = [
+        "realized_pnl_u", "realized_funding_u", "fees_u", "price_pnl_u", "unsettled_u", "total_pnl_u", "open_notional_u",
+        "open_collateral_u",
+    ]
+    counts = ["open_positions", "closed_positions", "positions", "warning_count"]
     absent = F.col("positions").isNull()
     return joined.withColumns(
         {c: F.when(absent, dec(0)).otherwise(F.col(c)) for c in zero}

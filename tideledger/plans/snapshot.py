@@ -75,7 +75,7 @@ def build_snapshot(
     states = analytics.market_state(analytics.state_positions(events, marks, registry, as_of)) if proven else None
     day = markets.where("window = '24h'") if windows[0].complete else None
     wallets = accounting.wallets(events, positions, registry, as_of)
-    stats = cohort.wallet_stats(wallets, positions, eligible)
+    stats = cohort.wallet_stats(wallets, eligible)
     report = signals.signal_report(positions, eligible, states, day, as_of)
     good = positions.join(eligible.where("eligible").select("account_id"), "account_id", "left_semi")
     tables = {
@@ -125,3 +125,12 @@ def watchlist_snapshot(
         "overlap": cohort.exposure_overlap(cohort.exposures(positions, eligible), watched),
         "manifest": evidence.ids_hash_exact(seen, as_of),
     }
+
+
+def demo_walk(tables: dict[str, DataFrame], account_id: int) -> None:
+    """Print the protocol, one wallet with its positions, and its latest event."""
+    tables["flow_totals"].orderBy("window").show(truncate=False)
+    tables["wallets"].where(F.col("account_id") == account_id).show(truncate=False)
+    tables["positions"].where(F.col("account_id") == account_id).select(*accounting.POSITION_VIEW).show(truncate=False)
+    mine = tables["events"].where(F.col("account_id") == account_id)
+    mine.orderBy(F.desc("block_number"), F.desc("log_index")).limit(1).show(truncate=False)
