@@ -120,8 +120,13 @@ def _kinds(*names: str) -> Column:
     return F.col("kind").isin(*names)
 
 
+def micros(column: str) -> str:
+    """Microseconds since 1970 of a zone-less timestamp, whatever the session zone."""
+    return f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast({column} as timestamp_ntz))"
+
+
 def base_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rel = F.unix_micros(F.col("ts").cast("timestamp")) - T0_US
+    rel = F.expr(f"{micros('ts')} - {T0_US}")
     rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", rel.alias("rel"))
     return rows.select(
         F.col("event_id").alias("eid"),
@@ -314,7 +319,7 @@ def _tape(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tape_rows(lines: DataFrame) -> DataFrame:
     """The tape from batch or streaming ``lineitem`` rows (projections only)."""
-    day = F.expr(f"(unix_micros(cast(l_shipdate as timestamp)) div 1000 - {TAPE_T0_MS}) div {DAY_MS}")
+    day = F.expr(f"({micros('l_shipdate')} div 1000 - {TAPE_T0_MS}) div {DAY_MS}")
     rows = lines.withColumns(
         {
             "day": day,

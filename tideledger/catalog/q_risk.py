@@ -113,24 +113,9 @@ def severity_counts(spark, sf):
     return signals.severity_counts(report(spark, sf))
 
 
-@query("O2_rank_signals", q.with_book(*REPORT) + f"SELECT signal_id, row_number() OVER (ORDER BY {ORDER_SQL}) AS place FROM sig ORDER BY place LIMIT 500")
+@query("O2_rank_signals", q.with_book(*REPORT) + f"SELECT signal_id, row_number() OVER (ORDER BY {ORDER_SQL}) AS place FROM sig")
 def rank_signals(spark, sf):
-    """The first 500 places of the ranked report; a global rank of everything needs a sort only."""
-    return _placed(signals.top_signals(report(spark, sf), 500))
-
-
-def _placed(top):
-    """Number the rows of a top-k list (at most 500 rows)."""
-    ordered = F.array_sort(
-        F.collect_list(
-            F.struct(
-                (-signals.rank_of_severity()).alias("s"), (-signals.rank_of_category()).alias("c"), (-F.col("score_ppm")).alias("v"), "signal_id"
-            )
-        )
-    )
-    return top.agg(ordered.alias("rows")).select(F.posexplode("rows").alias("p", "r")).select(
-        F.col("r.signal_id").alias("signal_id"), (F.col("p") + 1).cast("long").alias("place")
-    )
+    return signals.ranked_signals(report(spark, sf)).select("signal_id", *longs("place"))
 
 
 @query(

@@ -124,7 +124,10 @@ def price_positions(state: DataFrame, marks: DataFrame, registry: Registry, as_o
                 "funding_reason": F.lit("no-funding-scope"),
             }
         )
-    joined = with_marks(state, marks, as_of).join(registry.listed(state.sparkSession), "perpetual_id")
+    listed = registry.listed(state.sparkSession)
+    # Only marks of registry markets, so the broadcast mark side is bounded.
+    known_marks = marks.join(listed.select("perpetual_id"), "perpetual_id", "left_semi")
+    joined = with_marks(state, known_marks, as_of).join(listed, "perpetual_id")
     is_open = F.col("is_open")
     cns = F.lit(registry.collateral_decimals)
     basic = joined.withColumns(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tideledger.errors import DataQualityError
 from tideledger.functions.exact import trunc_div
 from tideledger.functions.keys import digest_json, digest_text
 from tideledger.operators.checks import exploded, with_event_id
@@ -22,7 +23,7 @@ def ids_hash_exact(events: DataFrame, as_of: AsOf) -> DataFrame:
     """
     kept = with_event_id(events.where(as_of.includes()))
     if kept.limit(EXACT_IDS + 1).count() > EXACT_IDS:
-        return ids_hash_tree(events, as_of).select(F.lit(None).cast("string").alias("ordered_ids_hash"))
+        raise DataQualityError(f"a single-array hash covers at most {EXACT_IDS} ids; use ids_hash_tree")
     ordered = F.array_sort(F.collect_list(F.struct("block_number", "log_index", "tx_hash", "event_id")))
     return kept.agg(digest_json(F.transform(ordered, lambda x: x["event_id"])).alias("ordered_ids_hash"))
 
@@ -353,9 +354,10 @@ def coverage_state(rows: DataFrame) -> DataFrame:
 def checkpoint_hash(rows: DataFrame, columns: list[str]) -> DataFrame:
     """One digest of a bounded table (marks, registry, checkpoints of a watchlist).
 
-    The rows of such a table are at most one per registry market or per
-    watchlist position.
+    The row count is checked before the rows are put in one group.
     """
+    if rows.limit(EXACT_IDS + 1).count() > EXACT_IDS:
+        raise DataQualityError(f"a checkpoint hash covers at most {EXACT_IDS} rows")
     ordered = F.array_sort(F.collect_list(F.struct(*columns)))
     return rows.agg(F.count(F.lit(1)).alias("rows"), digest_json(ordered).alias("hash"))
 
