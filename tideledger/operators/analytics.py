@@ -12,6 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as SparkWindow
 from pyspark.sql import functions as F
 
 from tideledger.functions.exact import Q16, UNIT_DIGITS, dec, known_sum, known_sum_where, pow10, ratio_ppm, units_from_native
@@ -110,6 +111,31 @@ def account_flows(events: DataFrame, as_of: AsOf, rank: Column) -> DataFrame:
     )
 
 
+def rank_flows(partial: DataFrame) -> DataFrame:
+    """Sums per (market, window rank) with accounts counted at their first rank.
+
+    An account has at most one row per market and rank here, so the windows
+    over an account are bounded by the registry.  ``accounts`` counts an account
+    once per market, ``everyone`` once in all.
+    """
+    active = F.col("active") == 1
+    place = F.struct("rank", F.coalesce("perpetual_id", F.lit(-1)).alias("m"))
+    by_market = SparkWindow.partitionBy("account_id", "perpetual_id")
+    by_account = SparkWindow.partitionBy("account_id")
+    flagged = partial.withColumns(
+        {
+            "first_in_market": active & (F.col("rank") == F.min(F.when(active, F.col("rank"))).over(by_market)),
+            "first_of_all": active & (place == F.min(F.when(active, place)).over(by_account)),
+        }
+    )
+    return flagged.groupBy("perpetual_id", "rank").agg(
+        *[F.sum(c).alias(c) for c in [*VOLUMES, *FEES, *COUNTS]],
+        F.count(F.when(F.col("first_in_market"), F.lit(1))).alias("accounts"),
+        F.count(F.when(F.col("first_of_all"), F.lit(1))).alias("everyone"),
+        F.max("traded").alias("traded"),
+    )
+
+
 def _scaled(sums: DataFrame, registry: Registry) -> DataFrame:
     """Apply market scales to grouped native sums."""
     cns = F.lit(registry.collateral_decimals)
@@ -136,45 +162,30 @@ def window_flows(events: DataFrame, registry: Registry, as_of: AsOf, windows: li
     """
     spark = events.sparkSession
     last = len(windows) - 1
-    partial = account_flows(events, as_of, window_rank(windows))
+    per_rank = rank_flows(account_flows(events, as_of, window_rank(windows)))
     listed = registry.listed(spark)
-    in_market = partial.where("perpetual_id is not null and traded = 1").join(listed, "perpetual_id")
-    keys = ["perpetual_id", "symbol", "price_decimals", "size_decimals"]
-    sums = [F.sum(c).alias(c) for c in [*VOLUMES, *FEES, *COUNTS]]
-    per_rank = in_market.groupBy(*keys, "rank").agg(*sums).withColumn("accounts", F.lit(0).cast("long"))
-    first_seen = partial.where("active = 1").groupBy("perpetual_id", "account_id").agg(F.min("rank").alias("rank"))
-    market_accounts = (
-        first_seen.where("perpetual_id is not null").join(listed, "perpetual_id")
-        .groupBy(*keys, "rank").agg(F.count(F.lit(1)).alias("accounts"))
-    )
+    cns = F.lit(registry.collateral_decimals)
     steps = F.explode(F.sequence(F.col("rank"), F.lit(last))).alias("window")
     market_rows = (
-        _scaled(per_rank, registry)
-        .unionByName(market_accounts, allowMissingColumns=True)
-        .select(*keys, "accounts", *FLOW_COLUMNS, steps)
+        _scaled(per_rank.where("traded = 1").join(listed, "perpetual_id"), registry)
+        .select("perpetual_id", "symbol", "accounts", *FLOW_COLUMNS, steps)
         .groupBy("window", "perpetual_id", "symbol")
         .agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in FLOW_COLUMNS], F.sum("accounts").alias("active_accounts"))
     )
-    everywhere = first_seen.groupBy("account_id").agg(F.min("rank").alias("rank"))
-    total_accounts = everywhere.groupBy("rank").agg(F.count(F.lit(1)).alias("accounts"))
-    cns = F.lit(registry.collateral_decimals)
-    moved = (
-        partial.groupBy("rank")
-        .agg(F.sum("deposits_cns").alias("d"), F.sum("withdrawals_cns").alias("w"))
-        .select("rank", units_from_native(F.col("d"), cns).alias("deposits_u"), units_from_native(F.col("w"), cns).alias("withdrawals_u"))
-    )
     money = ["deposits_u", "withdrawals_u"]
+    known = per_rank.join(listed, "perpetual_id", "left")
+    priced = _scaled(known.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in ("price_decimals", "size_decimals")}), registry)
+    in_registry = F.col("symbol").isNotNull()
     small = (
-        _scaled(per_rank, registry).select("rank", *FLOW_COLUMNS)
-        .unionByName(total_accounts, allowMissingColumns=True)
-        .unionByName(moved, allowMissingColumns=True)
-        .select("accounts", *FLOW_COLUMNS, *money, steps)
+        priced.select(
+            F.col("everyone").alias("accounts"), *[F.when(in_registry, F.col(c)).alias(c) for c in FLOW_COLUMNS], *money, steps
+        )
         .groupBy("window")
         .agg(
             *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in [*FLOW_COLUMNS, *money]],
             F.coalesce(F.sum("accounts"), F.lit(0)).alias("active_accounts"),
         )
-    )
+    )
     names = F.element_at(F.array(*[F.lit(w.id) for w in windows]), F.col("window") + 1)
     complete = F.element_at(F.array(*[F.lit(w.complete) for w in windows]), F.col("window") + 1)
     frame = spark.range(len(windows)).select(F.col("id").cast("int").alias("window"))
