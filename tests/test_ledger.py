@@ -122,6 +122,7 @@ def test_guards_and_event_rules(spark):
     bad[2]["log_index"], bad[2]["block_hash"] = 0, "0xother"
     found = {r.violation for r in checks.ledger_guards(kit.frame(spark, bad), reg, cut).collect()}
     assert found == {"repeated_position", "mixed_block_hash"}
+    assert checks.adjacent_duplicates(kit.frame(spark, bad)).count() == 1
     bad = [dict(r) for r in rows]
     bad[1]["position_type"], bad[2]["lot_lns"], bad[0]["owner"] = None, None, "  "
     found = {r.violation for r in checks.validate_events(kit.frame(spark, bad)).collect()}
