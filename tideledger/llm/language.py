@@ -82,10 +82,11 @@ def linear_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 150)
     """Weights and bias (last) of a linear SVM with squared hinge loss, by accelerated gradient steps."""
     x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * c
+    weight, y = weight.astype(x.dtype), y.astype(x.dtype)
     v = np.ones(x.shape[1], x.dtype)
     for _ in range(20):  # largest curvature, by power iteration
         v = x.T @ (weight * (x @ v))
-        size = np.linalg.norm(v)
+        size = float(np.linalg.norm(v))
         v /= size
     step = 1.0 / (1.0 + 2.2 * size)
     w = z = np.zeros(x.shape[1], x.dtype)
@@ -183,29 +184,37 @@ def train(docs: DataFrame, key: str, text: str, lang: str, rows_per_language: in
     return learn(x, [r["lang"] for r in rows])
 
 
-def identify(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: id, mark (hash of the text), lang_pred, score."""
-    spark = docs.sparkSession
-    small_batches(spark)
+def predictor(spark, model: Model | None):
+    """Column function text -> struct(lang, score), evaluated once per row."""
     shared = spark.sparkContext.broadcast(model)
 
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("lang string, score double")
+    def predict(texts: pa.Array) -> pa.Array:
         model = shared.value
-        for batch in batches:
-            texts = batch.column(2)
-            known = np.asarray(pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False))
-            names = np.full(len(known), "und", object)
-            scores = np.zeros(len(known))
-            for piece in pieces(texts) if model else ():
-                bucket, letter = trigrams(piece)
-                sums = segment_sums(np.where(letter[:, None], model.weights[bucket], np.float32(0)), piece.bounds)
-                letters = segment_sums(letter, piece.bounds)
-                best, score = model.decide(sums / np.maximum(letters, 1)[:, None] + model.bias)
-                rows = slice(piece.first, piece.first + piece.rows)
-                names[rows] = np.array(model.languages, object)[best]
-                scores[rows] = score
-            names[~known], scores[~known] = "und", 0.0
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores)], ["doc", "mark", "lang_pred", "score"])
-
-    rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc"), F.xxhash64(F.col(f"`{text}`")).alias("mark"), F.col(f"`{text}`").alias("text"))
-    return rows.mapInArrow(predict, "doc long, mark long, lang_pred string, score double").withColumnRenamed("doc", key)
+        known = np.asarray(pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False))
+        names = np.full(len(known), "und", object)
+        scores = np.zeros(len(known))
+        for piece in pieces(texts) if model else ():
+            bucket, letter = trigrams(piece)
+            sums = segment_sums(np.where(letter[:, None], model.weights[bucket], np.float32(0)), piece.bounds)
+            letters = segment_sums(letter, piece.bounds)
+            best, score = model.decide(sums / np.maximum(letters, 1)[:, None] + model.bias)
+            rows = slice(piece.first, piece.first + piece.rows)
+            names[rows] = np.array(model.languages, object)[best]
+            scores[rows] = score
+        names[~known], scores[~known] = "und", 0.0
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores)], ["lang", "score"])
+
+    return predict.asNondeterministic()
+
+
+def identify(docs: DataFrame, model: Model | None, text: str = "text", into: str = "_language") -> DataFrame:
+    """The rows with a struct (lang, score) of the prediction in column `into`."""
+    small_batches(docs.sparkSession)
+    return docs.withColumn(into, predictor(docs.sparkSession, model)(F.col(f"`{text}`")))
+
+
+def identified(docs: DataFrame, model: Model | None, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The documents with a language, which replaces the column `lang`; `und` ones go."""
+    found = identify(docs, model, text).where("_language.lang <> 'und'")
+    return found.withColumn(lang, F.col("_language.lang")).select(*[f"`{c}`" for c in docs.columns])

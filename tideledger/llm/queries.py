@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideledger.llm import decontamination, jaccard_join, language, mixing
-from tideledger.llm.shared import remainder, table
+from tideledger.llm import decontamination, jaccard_join, language, mixing, token_file
+from tideledger.llm.shared import Workspace, remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,6 +24,19 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def word_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op1_token_file")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Workspace(spark, "tokens").path("ids")
+    token_file.write(table(spark, sf_dir, "documents"), path, word_tokenizer())
+    return token_file.directory(spark, path)
+
+
 @query("op2_decontamination")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -41,7 +54,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = remainder("doc_id", 4) == 2
     model = language.train(docs.where(~held_out), "doc_id", "text", "lang")
-    return language.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    return language.identify(docs, model).select("doc_id", held_out.alias("held_out"), F.col("_language.lang").alias("lang_pred"), "_language.score")
 
 
 @query("op8_jaccard_join")
