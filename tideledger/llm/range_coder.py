@@ -26,8 +26,8 @@ import zlib
 import numpy as np
 
 MAGIC = b"CMR2"
-LANES = 2048
-LANE_IDS = 256
+LANES = 4096
+LANE_IDS = 128
 TOTAL_BITS = 20
 NEAR_BITS = 4
 ORDER2 = 1 << 18

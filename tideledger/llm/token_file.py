@@ -7,8 +7,8 @@ Spark's own writer commits the parts, so retried tasks leave no double blocks an
 can lie in any store that Spark reaches.
 
 Encoding is exact but spares repeated work: no merge crosses white space, so each
-white-space-free word is encoded once per worker by the tokenizers library (many joined by a
-special token per call) and looked up from then on.  Texts with "<|" go to the library whole.
+white-space-free word is encoded once per worker by the tokenizers library and looked up from
+then on.  Texts with "<|" (special tokens) go to the library whole.
 
 Defined results: a null text is empty and gives the end id alone; repeated rows are written
 as they come; an empty table gives an empty file set; documents are written in ascending
@@ -18,6 +18,7 @@ read back as null; other columns are not stored.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -36,7 +37,8 @@ from tideledger.llm.words import pieces
 BLOCK_IDS = 1 << 19
 END_ID = 1
 MEMO_WORDS = 1_000_000
-_TAIL = b".,!?;:%*&#$"
+#: Such marks between an ASCII letter or digit and white space are tokens of their own.
+_LAST = re.compile(rb"(?<=[0-9a-z])([.,!?;:%*&#$]+)(?![^\t-\r ])")
 _HEAD = struct.Struct("<4sIII")
 _MAGIC = b"TIDB"
 _NO_ID = -(1 << 63)
@@ -51,58 +53,37 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.mark = "<|startoftext|>"
-        self.mark_id = self.tokenizer.token_to_id(self.mark)
         self.clear()
 
     def clear(self) -> None:
         self.memo: dict[bytes, int] = {}
-        self.ids = np.zeros(1 << 16, np.int32)
-        self.begin = np.zeros(1 << 16, np.int64)
-        self.length = np.zeros(1 << 16, np.int64)
-        self.used = 0
-
-    def _add(self, word: bytes, ids: np.ndarray) -> None:
-        k = len(self.memo)
-        if k >= len(self.begin):
-            self.begin, self.length = (np.concatenate((x, np.zeros_like(x))) for x in (self.begin, self.length))
-        while self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.begin[k], self.length[k] = self.used, len(ids)
-        self.used += len(ids)
-        self.memo[word] = k
-
-    def _of(self, word: bytes) -> np.ndarray:
-        k = self.memo[word]
-        return self.ids[self.begin[k] : self.begin[k] + self.length[k]]
+        self.ids = np.zeros(0, np.int32)
+        self.begin = np.zeros(0, np.int64)
+        self.length = np.zeros(0, np.int64)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int64)
 
     def _encode_new(self, new: list[bytes]) -> None:
-        """Ends of ASCII punctuation after an ASCII letter or digit are tokens of their own."""
-        plain: dict[bytes, None] = {}
-        parts = {}
-        for word in new:
-            core = word.rstrip(_TAIL)
-            if core and core != word and core[-1:].isalnum():
-                parts[word] = (core, word[len(core) :])
-            else:
-                parts[word] = (word,)
-            for x in parts[word]:
-                if x not in self.memo:
-                    plain[x] = None
-        todo = list(plain)
-        for at in range(0, len(todo), 512):
-            some = todo[at : at + 512]
-            ids = self.whole(self.mark.join(x.decode("utf-8", "replace") for x in some))
-            cuts = np.flatnonzero(ids == self.mark_id)
-            for word, own in zip(some, np.split(ids, cuts), strict=True):
-                self._add(word, own[1:] if len(own) and own[0] == self.mark_id else own)
-        for word, own in parts.items():
-            if word not in self.memo:
-                self._add(word, np.concatenate([self._of(x) for x in own]))
+        """Takes words up into the memo; ASCII letters alone need no normalising and splitting."""
+        model, memo = self.tokenizer.model, self.memo
+        ids: list[int] = []
+        lengths: list[int] = []
+        plain = [x for x in new if x.isalpha()]
+        others = [x for x in new if not x.isalpha()]
+        for word in plain:
+            own = model.tokenize(word.decode())
+            ids += [x.id for x in own]
+            lengths.append(len(own))
+        for own in self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in others], add_special_tokens=False):
+            own = own.ids
+            ids += own
+            lengths.append(len(own))
+        memo.update(zip(plain + others, range(len(memo), len(memo) + len(new)), strict=True))
+        size = np.array(lengths, np.int64)
+        self.begin = np.concatenate((self.begin, len(self.ids) + np.cumsum(size) - size))
+        self.length = np.concatenate((self.length, size))
+        self.ids = np.concatenate((self.ids, np.array(ids, np.int32)))
 
     def encode(self, piece) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows of a piece, one after another, and their number per row."""
@@ -114,7 +95,7 @@ class WordEncoder:
             if b"<|" in raw:
                 special[r] = self.whole(raw.decode("utf-8", "replace"))
             else:
-                own = raw.lower().split()
+                own = _LAST.sub(rb" \1", raw.lower()).split()
                 counts[r] = len(own)
                 flow += own
         if len(self.memo) > MEMO_WORDS:
