@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideledger.llm import decontamination, jaccard_join, language, mixing, quality, token_file, toxicity
+from tideledger.llm import decontamination, jaccard_join, language, merkle, mixing, quality, token_file, toxicity
 from tideledger.llm.shared import Workspace, remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=85, inside="solid")
     return found.select("doc_id", "n_shingles", "component_id")
+
+
+@query("op9_fingerprints")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.fingerprints(table(spark, sf_dir, "documents"))

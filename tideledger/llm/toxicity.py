@@ -35,6 +35,7 @@ from tideledger.llm.words import ALNUM, LOWER, Piece, mix, pieces, word_hashes,
 ROWS = 20_000
 PREFIXES = (4, 5, 6)
 LEAST_DOCUMENTS = 4
+EVIDENCE = 30
 NEAR = 5
 BITS = 1 << 20
 _U = np.uint64
@@ -194,10 +195,10 @@ def _spelled(lone: np.ndarray, read: Piece, found, first: int, lexicon: Lexicon)
 
 
 def learn_lexicon(counted: DataFrame, toxic: int, clean: int) -> Lexicon:
-    """Terms of at least LEAST_DOCUMENTS toxic documents with log odds of 2 or more; the
-    number of terms is bounded by the words of the sample."""
+    """Terms of toxic documents with log odds of 2 or more that are no chance finds (documents
+    times log odds of EVIDENCE or more); their number is bounded by the words of the sample."""
     odds = F.log((F.col("toxic") + 0.2) / F.lit(toxic + 1.0)) - F.log((F.col("clean") + 0.2) / F.lit(clean + 1.0))
-    rows = counted.where(F.col("toxic") >= LEAST_DOCUMENTS).select("term", odds.alias("odds")).where("odds >= 2").collect()
+    rows = counted.where(F.col("toxic") >= LEAST_DOCUMENTS).select("term", "toxic", odds.alias("odds")).where(f"odds >= 2 and toxic * odds >= {EVIDENCE}").select("term", "odds").collect()
     names = np.array([r["term"] for r in rows], np.int64).view(_U)
     return Lexicon.of(names, np.array([min(r["odds"], 8.0) for r in rows]))
 
