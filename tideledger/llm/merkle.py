@@ -1,7 +1,7 @@
 """Document fingerprints: a Merkle tree over sections, paragraphs and short segments.
 
 A text is cut at line breaks into paragraphs and inside them, after words chosen by their
-hash, into segments of about eight words; paragraphs form sections that end after a paragraph
+hash (and at every eighth word of a run of one word), into segments of about eight words; paragraphs form sections that end after a paragraph
 chosen by its digest.  Cuts depend on nearby text only, so an edit changes the nodes on its
 own branch.  A leaf hashes the bytes of its segment, an inner node the digests below it, the
 root those of the sections and the length.
@@ -33,6 +33,7 @@ from tideledger.llm.words import SOLID, Words, pieces, word_hashes, words
 
 SEGMENT_MASK = 7
 SECTION_MASK = 7
+RUN_STEP = 8
 _NO_ID = -(1 << 63)
 _U = np.uint64
 
@@ -61,6 +62,19 @@ class Tree:
         return out
 
 
+def _run_cuts(hashes: np.ndarray, found: Words) -> np.ndarray:
+    """Repeats of one word: a cut after a run, and inside it at every RUN_STEP-th word."""
+    n = len(hashes)
+    fresh = np.ones(n, bool)
+    fresh[1:] = hashes[1:] != hashes[:-1]
+    fresh[found.first[:-1][found.counts() > 0]] = True
+    at = np.arange(n)
+    place = at - np.maximum.accumulate(np.where(fresh, at, 0)) if n else at
+    cut = (place > 0) & (place % RUN_STEP == 0)
+    cut[1:] |= fresh[1:] & (place[:-1] > 0)
+    return cut
+
+
 def trees(texts: pa.Array) -> Iterator[Tree]:
     for piece in pieces(texts):
         found = words(piece, SOLID)
@@ -71,7 +85,7 @@ def trees(texts: pa.Array) -> Iterator[Tree]:
         later[found.first[:-1][found.counts() > 0]] = False
         later = np.flatnonzero(later)
         paragraph = lines[found.starts[later]] > lines[found.ends[later - 1]]
-        cut = paragraph | ((hashes[later - 1] & _U(SEGMENT_MASK)) == 0)
+        cut = paragraph | ((hashes[later - 1] & _U(SEGMENT_MASK)) == 0) | _run_cuts(hashes, found)[later]
         rows = piece.bounds[:-1][np.diff(piece.bounds) > 0]
         starts = np.concatenate((rows, found.starts[later[cut]]))
         heads = np.concatenate((np.ones(len(rows), bool), paragraph[cut]))
