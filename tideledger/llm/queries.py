@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideledger.llm import decontamination, jaccard_join, language, merkle, mixing, quality, substrings, token_file, toxicity
+from tideledger.llm import decontamination, jaccard_join, language, merkle, mixing, quality, substrings, token_file, toxicity, warc
 from tideledger.llm.shared import Workspace, remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +44,18 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
 
 
+@query("op3_warc")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses are read with their payloads, revisits by their headers alone."""
+    path = Workspace(spark, "warc").path("archive")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    own = warc.read(spark, path).where("record_type = 'response'")
+    own = own.select("record_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), "record_type", "refers_to")
+    again = warc.read(spark, path, payload=False).where("record_type = 'revisit'")
+    again = again.select("record_id", F.col("http_length").alias("payload_bytes"), F.substring_index("payload_digest", ":", -1).alias("payload_digest"), "record_type", "refers_to")
+    return own.unionByName(again).select(warc.page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_of("refers_to").alias("refers_to"))
+
+
 @query("op4_mixing")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "position")
