@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tideledger.llm.shared import Workspace, bare, small_batches
+from tideledger.llm.shared import Workspace, bare, id_back, id_of, small_batches
 from tideledger.llm.words import ALNUM, LOWER, pieces, run_hashes, word_hashes, words
 
 GRAM = 4
@@ -164,7 +164,7 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     spark = docs.sparkSession
     small_batches(spark)
     work = Workspace(spark, "decontamination")
-    rows = bare(docs, key, text).select(F.col(key).cast("long").alias("doc"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
+    rows = bare(docs, key, text).select(id_of(key).alias("doc"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
     windows = work.keep(item_windows(bare(items, item_key, item_text), item_key, item_text, window), "windows")
     distinct = windows.groupBy("words", "size").agg(F.first("tokens").alias("tokens"))
     tokens = distinct.select("words", "size", F.posexplode("tokens").alias("offset", "token"))
@@ -194,7 +194,7 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     judged = hits.join(items_of, ["doc", "mark"])
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return found.select("doc", "mark", "n_words").join(judged, ["doc", "mark"], "left").select(
-        F.col("doc").alias(key), "mark", "n_words", n_hit.alias("n_hit"),
+        id_back("doc").alias(key), "mark", "n_words", n_hit.alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
         ((n_hit > 0) & (n_hit * one_in >= F.col("n_words"))).alias("contaminated"),
     )

@@ -28,13 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideledger.llm.shared import bare, small_batches
+from tideledger.llm.shared import bare, id_back, id_of, small_batches
 from tideledger.llm.words import SOLID, Words, pieces, word_hashes, words
 
 SEGMENT_MASK = 7
 SECTION_MASK = 7
 RUN_STEP = 8
-_NO_ID = -(1 << 63)
 _U = np.uint64
 
 
@@ -188,7 +187,7 @@ def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
     The driver sees one id per range.
     """
     spark = docs.sparkSession
-    own = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_NO_ID)).alias("doc"), F.col(text).alias("text"))
+    own = docs.select(id_of(key).alias("doc"), F.col(text).alias("text"))
     parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = own.agg(F.percentile_approx("doc", [i / parts for i in range(parts)], 100 * parts).alias("q")).first()["q"] or []
     cuts = sorted(set(cuts))
@@ -254,4 +253,4 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], [f.split()[0] for f in RESULT.split(", ")])
 
     found = with_next(bare(docs, key, text), key, text).mapInArrow(walk, RESULT)
-    return found.withColumn("doc", F.nullif("doc", F.lit(_NO_ID))).withColumnRenamed("doc", key)
+    return found.withColumn("doc", id_back("doc")).withColumnRenamed("doc", key)

@@ -118,21 +118,25 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, key: str = "do
     units = whole_units({s: max(0.0, wanted.get(s, 0.0)) for s in counts}, slots)
     plan = schedule(spark, {s: -(-n // block_rows) for s, n in counts.items()}, units)
 
-    rows = docs.drop("position").withColumns({"_name": name, "_bucket": bucket})
-    rank = F.row_number().over(W.partitionBy("_name", "_bucket").orderBy(F.xxhash64(F.col(f"`{key}`"), F.lit(5)), F.col(f"`{key}`")))
-    ranked = rows.withColumn("_rank", rank).join(starts.drop("_n"), ["_name", "_bucket"])
-    number = F.col("_start") + F.col("_rank") - 1
-    placed = ranked.withColumns({"_block": ((number - number % block_rows) / block_rows).cast("long"), "_offset": number % block_rows})
-    placed = placed.join(F.broadcast(plan), F.col("_name") == F.col("name"))
-    placed = placed.withColumn("_phase", F.expr("filter(phases, p -> _block >= p.first and _block < p.first + p.take)[0]"))
-    in_phase = F.expr("_block - _phase.first")
-    slot = F.expr("_phase.base + (_block - _phase.first) div size(_phase.slots) * _phase.width") + F.element_at(
-        "_phase.slots", (in_phase % F.size("_phase.slots")).cast("int") + 1
+    plan = plan.select(F.col("name").alias("_mix_plan"), F.col("phases").alias("_mix_phases"))
+    starts = starts.select(F.col("_name").alias("_mix_name"), F.col("_bucket").alias("_mix_bucket"), F.col("_start").alias("_mix_start"))
+
+    rows = docs.drop("position").withColumns({"_mix_name": name, "_mix_bucket": bucket})
+    rank = F.row_number().over(W.partitionBy("_mix_name", "_mix_bucket").orderBy(F.xxhash64(F.col(f"`{key}`"), F.lit(5)), F.col(f"`{key}`")))
+    ranked = rows.withColumn("_mix_rank", rank).join(starts, ["_mix_name", "_mix_bucket"])
+    number = F.col("_mix_start") + F.col("_mix_rank") - 1
+    placed = ranked.withColumns({"_mix_block": ((number - number % block_rows) / block_rows).cast("long"), "_mix_offset": number % block_rows})
+    placed = placed.join(F.broadcast(plan), F.col("_mix_name") == F.col("_mix_plan"))
+    placed = placed.withColumn("_mix_phase", F.expr("filter(_mix_phases, p -> _mix_block >= p.first and _mix_block < p.first + p.take)[0]"))
+    in_phase = F.expr("_mix_block - _mix_phase.first")
+    slot = F.expr("_mix_phase.base + (_mix_block - _mix_phase.first) div size(_mix_phase.slots) * _mix_phase.width") + F.element_at(
+        "_mix_phase.slots", (in_phase % F.size("_mix_phase.slots")).cast("int") + 1
     )
-    position: Column = (slot * block_rows + F.col("_offset")).cast("long")
-    return placed.withColumn("position", position).drop("_name", "_bucket", "_rank", "_start", "_block", "_offset", "_phase", "phases", "name")
+    position: Column = (slot * block_rows + F.col("_mix_offset")).cast("long")
+    return placed.withColumn("position", position).select(*[f"`{c}`" for c in docs.columns if c != "position"], "position")
 
 
 def in_order(docs: DataFrame, **how) -> DataFrame:
     """The documents themselves, written files in the order of the mix (columns as given)."""
-    return mix(docs, **how).repartitionByRange("position").sortWithinPartitions("position").select(*[f"`{c}`" for c in docs.columns])
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(how.get("key", "doc_id")), F.col(how.get("source", "source")))
+    return mix(own, **how).repartitionByRange("position").sortWithinPartitions("position").select("row.*")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tideledger.session import checkpoint_folder
 
 ARROW_ROWS = 1000
+NO_ID = -(1 << 63)
 
 
 class Workspace:
@@ -56,6 +57,15 @@ def bare(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*[docs[f"`{c}`"].alias(c) for c in columns])
 
 
+def id_of(column: str) -> Column:
+    """The id as a long; a null one as the smallest long, so that joins and arrays hold it."""
+    return F.coalesce(F.col(f"`{column}`").cast("long"), F.lit(NO_ID))
+
+
+def id_back(column: str) -> Column:
+    return F.nullif(F.col(column), F.lit(NO_ID))
+
+
 def remainder(column: str, by: int) -> Column:
     """crc32 of the id as text, modulo `by`."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(by)

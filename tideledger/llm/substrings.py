@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideledger.llm.shared import Workspace, bare, small_batches
+from tideledger.llm.shared import Workspace, bare, id_back, id_of, small_batches
 from tideledger.llm.words import SOLID, Piece, mix, pieces, run_hashes, word_hashes, words
 
 WINDOW = 50
@@ -228,7 +228,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     spark = docs.sparkSession
     small_batches(spark)
     work = Workspace(spark, "substrings")
-    rows = bare(docs, key, text).select(F.col(key).cast("long").alias("doc"), F.xxhash64(text).alias("mark"), F.coalesce(text, F.lit("")).alias("text"))
+    rows = bare(docs, key, text).select(id_of(key).alias("doc"), F.xxhash64(text).alias("mark"), F.coalesce(text, F.lit("")).alias("text"))
     named = work.keep(keyed(rows, window), "keys")
 
     # Equal word sequences: only rows of the least id go on, the others are repeats as a whole.
@@ -246,7 +246,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     flagged = named.select("doc", "mark", "n_words", "sha").join(classes, "sha").join(cut, ["doc", "mark"], "left")
     whole = (F.col("doc") > F.col("head")) & (F.col("n_words") >= window)
     return flagged.select(
-        F.col("doc").alias(key), "n_words",
+        id_back("doc").alias(key), "n_words",
         F.when(whole, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(whole, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
         F.when(whole, F.lit("")).otherwise(F.col("kept")).alias("kept"),

@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tideledger.llm import range_coder
-from tideledger.llm.shared import Workspace, small_batches
+from tideledger.llm.shared import Workspace, id_back, id_of, small_batches
 from tideledger.llm.words import pieces
 
 BLOCK_IDS = 1 << 19
@@ -41,7 +41,6 @@ MEMO_WORDS = 1_000_000
 _LAST = re.compile(rb"(?<=[0-9a-z])([.,!?;:%*&#$]+)(?![^\t-\r ])")
 _HEAD = struct.Struct("<4sIII")
 _MAGIC = b"TIDB"
-_NO_ID = -(1 << 63)
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -148,7 +147,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text:
     """Encodes all texts and writes them in ascending `order` (the key, if none is given)."""
     small_batches(docs.sparkSession)
     order = order or (key,)
-    rows = docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(_NO_ID)).alias("_key"), F.col(f"`{text}`").alias("_text"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
+    rows = docs.select(id_of(key).alias("_key"), F.col(f"`{text}`").alias("_text"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
     by = [f"_o{i}" for i in range(len(order))]
     rows = rows.repartitionByRange(*by).sortWithinPartitions(*by).select("_key", "_text")
 
@@ -218,7 +217,7 @@ def _read(spark: SparkSession, path: str, with_ids: bool) -> DataFrame:
 
     kind = "part int, block int, number int, doc long, before long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    return stored.mapInArrow(open_blocks, kind).withColumn("doc", F.nullif("doc", F.lit(_NO_ID)))
+    return stored.mapInArrow(open_blocks, kind).withColumn("doc", id_back("doc"))
 
 
 def directory(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
