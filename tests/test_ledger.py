@@ -26,7 +26,7 @@ def test_history_equals_state_and_survives_hot_keys(spark):
     events = kit.frame(spark, kit.open_increase_reduce_close()).repartition(3)
     cut = kit.as_of(54773080)
     plain = ledger.position_history(events, cut)
-    hot = ledger.position_history(events, cut, hot_rows=1)
+    hot = ledger.position_history(events, cut, range_width=1)
     columns = sorted(plain.columns)
     rows = lambda df: sorted(map(str, df.select(*columns).collect()))
     assert rows(plain) == rows(hot)

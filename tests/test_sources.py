@@ -1,15 +1,16 @@
 import json
+from hashlib import sha256
 
 import pytest
 from pyspark.sql import functions as F
 
+import cohort as sample
 import kit
 from tideledger.errors import DataQualityError
 from tideledger.operators import accounting, analytics, evidence, ledger
 from tideledger.params import AsOf, Coverage
 from tideledger.plans import snapshot
 from tideledger.sources import documents, event_table, publication, raw_logs
-from tideledger.sources import generator as gen
 
 REGISTRY_DOC = dict(
     chain_id=143, exchange_address=kit.EXCHANGE, deployed_at_block=kit.DEPLOYED,
@@ -150,15 +151,15 @@ def test_publication(spark, tmp_path):
 
 
 def test_snapshot_and_export(spark, tmp_path):
-    cut_ms = gen.T0 + 10 * gen.DAY
-    block = gen.block_at(cut_ms)
-    cut = AsOf(143, block, gen._hash(f"block-{block}"), cut_ms)
-    events = gen.cohort_events(spark).persist()
-    tables = snapshot.build_snapshot(events, kit.registry(), cut, Coverage(143, gen.DEPLOYED, cut.block_number))
+    cut_ms = sample.T0 + 10 * sample.DAY
+    block = sample.block_at(cut_ms)
+    cut = AsOf(143, block, "0x" + sha256(f"block-{block}".encode()).hexdigest(), cut_ms)
+    events = sample.events(spark).persist()
+    tables = snapshot.build_snapshot(events, kit.registry(), cut, Coverage(143, sample.DEPLOYED, cut.block_number))
     assert {r.severity: r.signals for r in tables["severity_counts"].collect()}["warning"] >= 1
     assert tables["manifest"].first().event_count == events.count()
     snapshot.demo_walk(tables, 102)
-    watch = snapshot.watchlist_snapshot(events, [102, 103, 105], kit.registry(), cut, Coverage(143, gen.DEPLOYED, cut.block_number))
+    watch = snapshot.watchlist_snapshot(events, [102, 103, 105], kit.registry(), cut, Coverage(143, sample.DEPLOYED, cut.block_number))
     assert watch["wallets"].count() == 3 and watch["overlap"].count() == 3
     shuffled = events.repartition(5)
     hashes = [evidence.ids_hash_exact(e, cut).first()[0] for e in (events, shuffled)]
@@ -168,7 +169,7 @@ def test_snapshot_and_export(spark, tmp_path):
     with pytest.raises(Exception, match="(?i)already.exists"):
         documents.export_evidence(tables["manifest"], str(tmp_path / "out"))
     with pytest.raises(DataQualityError):
-        snapshot.build_snapshot(events.unionByName(events.limit(1)), kit.registry(), cut, Coverage(143, gen.DEPLOYED, cut.block_number))
+        snapshot.build_snapshot(events.unionByName(events.limit(1)), kit.registry(), cut, Coverage(143, sample.DEPLOYED, cut.block_number))
 
 
 def test_registry_and_context_evidence(spark):

@@ -1,21 +1,21 @@
 import pytest
 from pyspark.sql import functions as F
 
+import cohort as sample
 import kit
 from tideledger.errors import DataQualityError
 from tideledger.operators import ledger
 from tideledger.params import AsOf
 from tideledger.schema import EVENT
-from tideledger.sources import generator as gen
 from tideledger.streaming import ingest, state
 
-CUT_MS = gen.T0 + 10 * gen.DAY
-CUT = AsOf(143, gen.block_at(CUT_MS), "0xcut", CUT_MS)
+CUT_MS = sample.T0 + 10 * sample.DAY
+CUT = AsOf(143, sample.block_at(CUT_MS), "0xcut", CUT_MS)
 
 
 def write_parts(spark, path, parts):
     """The cohort in time order, one file per part."""
-    rows = sorted(gen.cohort_rows(), key=lambda r: (r["block_number"], r["log_index"]))
+    rows = sorted(sample.ROWS, key=lambda r: (r["block_number"], r["log_index"]))
     size = -(-len(rows) // parts)
     for i in range(parts):
         kit.frame(spark, rows[i * size : (i + 1) * size]).coalesce(1).write.mode("append").parquet(path)
@@ -24,8 +24,8 @@ def write_parts(spark, path, parts):
 
 def run(spark, tmp_path, parts=3):
     source = str(tmp_path / "source")
-    job = ingest.Ingest(spark, str(tmp_path / "lake"), kit.registry(), gen.DEPLOYED)
-    rows = sorted(gen.cohort_rows(), key=lambda r: (r["block_number"], r["log_index"]))
+    job = ingest.Ingest(spark, str(tmp_path / "lake"), kit.registry(), sample.DEPLOYED)
+    rows = sorted(sample.ROWS, key=lambda r: (r["block_number"], r["log_index"]))
     size = -(-len(rows) // parts)
     for i in range(parts):
         kit.frame(spark, rows[i * size : (i + 1) * size]).coalesce(1).write.mode("append").parquet(source)
@@ -37,7 +37,7 @@ def test_stream_equals_batch_and_retry_is_idempotent(spark, tmp_path):
     job, source = run(spark, tmp_path)
     last = job.last()
     assert last.batch_id == 2
-    events = gen.cohort_events(spark)
+    events = sample.events(spark)
     columns = [c for c in ledger.position_state(events, CUT).columns if c != "last_block"]
     rows = lambda df: sorted(map(str, df.select(*columns).collect()))
     served = rows(state.served_positions(job.state(last.batch_id)))
@@ -51,10 +51,10 @@ def test_stream_equals_batch_and_retry_is_idempotent(spark, tmp_path):
     job.process(again, 2)
     assert job.events().count() == events.count() and rows(state.served_positions(job.state(2))) == served
     # late rows are set aside, not dropped silently and not applied
-    job.process(gen.cohort_events(spark).limit(5), 3)
+    job.process(sample.events(spark).limit(5), 3)
     assert spark.read.parquet(job.folder("late", 3)).count() == 5 and job.last().batch_id == 2
     with pytest.raises(DataQualityError):
-        job.with_start(gen.DEPLOYED + 1).process(again, 4)
+        job.with_start(sample.DEPLOYED + 1).process(again, 4)
     ok = job.accept_cutoff(10, 10, "a", None)
     assert job.accept_cutoff(11, 11, "b", ok)["cutoff_block"] == 11
     with pytest.raises(DataQualityError):
@@ -64,13 +64,13 @@ def test_stream_equals_batch_and_retry_is_idempotent(spark, tmp_path):
 
 
 def test_failed_batch_commits_nothing(spark, tmp_path):
-    job = ingest.Ingest(spark, str(tmp_path / "lake"), kit.registry(), gen.DEPLOYED, max_events=2)
+    job = ingest.Ingest(spark, str(tmp_path / "lake"), kit.registry(), sample.DEPLOYED, max_events=2)
     with pytest.raises(DataQualityError):
         job.process(kit.frame(spark, kit.open_position()), 0)
     bad = kit.open_position()
     bad[1]["lot_lns"] = None
     with pytest.raises(DataQualityError):
-        ingest.Ingest(spark, str(tmp_path / "lake"), kit.registry(), gen.DEPLOYED).process(kit.frame(spark, bad), 0)
+        ingest.Ingest(spark, str(tmp_path / "lake"), kit.registry(), sample.DEPLOYED).process(kit.frame(spark, bad), 0)
     assert job.events() is None and job.last() is None
 
 
@@ -81,14 +81,14 @@ def test_dedupe_and_hourly_flows(spark, tmp_path):
     stream = ingest.distinct_stream(ingest.read_stream(spark, source), "30 days").drop("event_time")
     out, ck = str(tmp_path / "distinct"), str(tmp_path / "ck1")
     stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).trigger(availableNow=True).start().awaitTermination()
-    assert spark.read.parquet(out).count() == len(gen.cohort_rows())
+    assert spark.read.parquet(out).count() == len(sample.ROWS)
     hours = ingest.hourly_flows(ingest.read_stream(spark, out), "1 minute")
     hourly, ck = str(tmp_path / "hours"), str(tmp_path / "ck2")
     hours.writeStream.format("parquet").option("path", hourly).option("checkpointLocation", ck).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    events = gen.cohort_events(spark)
-    exact = events.where(F.col("kind") == "maker_fill").where(F.col("timestamp_ms") >= CUT_MS - gen.DAY)
+    events = sample.events(spark)
+    exact = events.where(F.col("kind") == "maker_fill").where(F.col("timestamp_ms") >= CUT_MS - sample.DAY)
     exact = {r.perpetual_id: (r.v, r.n) for r in exact.groupBy("perpetual_id").agg(F.sum(F.col("price_pns") * F.col("lot_lns")).alias("v"), F.count("*").alias("n")).collect()}
-    rolled = {r.perpetual_id: (r.volume_native, r.trades) for r in ingest.rolling_from_hours(spark.read.parquet(hourly), events, CUT, gen.DAY).collect()}
+    rolled = {r.perpetual_id: (r.volume_native, r.trades) for r in ingest.rolling_from_hours(spark.read.parquet(hourly), events, CUT, sample.DAY).collect()}
     assert rolled == exact
 
 
@@ -111,11 +111,11 @@ def test_signals_carry_over_batches(spark, tmp_path):
     from tideledger.operators.accounting import effective_marks, price_positions, replay_eligibility
     from tideledger.params import Coverage
 
-    events, reg = gen.cohort_events(spark), kit.registry()
+    events, reg = sample.events(spark), kit.registry()
     rows = price_positions(ledger.position_state(events, CUT), effective_marks(events, None, CUT), reg, CUT)
-    eligible = replay_eligibility(events, CUT, Coverage(143, gen.DEPLOYED, CUT.block_number), reg)
+    eligible = replay_eligibility(events, CUT, Coverage(143, sample.DEPLOYED, CUT.block_number), reg)
     report = signals.signal_report(rows, eligible, None, None, CUT)
-    job = ingest.Ingest(spark, str(tmp_path / "lake"), reg, gen.DEPLOYED)
+    job = ingest.Ingest(spark, str(tmp_path / "lake"), reg, sample.DEPLOYED)
     first = job.carry_signals(report, CUT, 0)
     second = job.carry_signals(report, CUT, 1)
     assert {r.change for r in first.collect()} == {"baseline"} and {r.change for r in second.collect()} == {"unchanged"}

@@ -46,6 +46,8 @@ MARKET_NAMES = [
     "maint_margin_frac_hdths", "listed",
 ]
 REGISTRY = Registry(CHAIN, EXCHANGE, DEPLOYED, 6, tuple(dict(zip(MARKET_NAMES, m)) for m in MARKETS), (10,))
+#: The tape trades on all ten markets, so its flows need all of them listed.
+TAPE_REGISTRY = Registry(CHAIN, EXCHANGE, DEPLOYED, 6, tuple(dict(zip(MARKET_NAMES, m), listed=True) for m in MARKETS))
 
 
 def _cut(day: int) -> AsOf:
@@ -219,7 +221,8 @@ def _position_events(spark: SparkSession, base: DataFrame) -> DataFrame:
 
 
 def funding_publications(base: DataFrame) -> DataFrame:
-    """First and last signup of each market-hour as publication and overwrite."""
+    """Every signup publishes a payment: the first of a market-hour for the hour's end, each
+    later one overwrites it on the same base sum."""
     rows = base.where("event_type = 'signup'").withColumns(
         {
             "perpetual_id": F.expr("cast(1 + eid % 5 as int)"),
@@ -227,24 +230,20 @@ def funding_publications(base: DataFrame) -> DataFrame:
             "pay": F.expr("cents % 7 - 3"),
         }
     )
-    point = F.struct("rel", "eid", "timestamp_ms", "block_number", "slot0", "pay")
-    hours = rows.groupBy("perpetual_id", "hour").agg(F.min(point).alias("a"), F.max(point).alias("z"))
+    in_hour = Window.partitionBy("perpetual_id", "hour").orderBy("rel", "eid")
+    hours = rows.groupBy("perpetual_id", "hour").agg(F.max_by("pay", F.struct("rel", "eid")).alias("final"))
     earlier = Window.partitionBy("perpetual_id").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
-    hours = hours.withColumn("before", F.coalesce(F.sum("z.pay").over(earlier), F.lit(0)))
-    both = F.array(
-        F.struct(F.col("a").alias("p"), F.lit(False).alias("again")),
-        F.when(F.col("z.rel") > F.col("a.rel"), F.struct(F.col("z").alias("p"), F.lit(True).alias("again"))),
-    )
-    return hours.select("perpetual_id", "hour", "before", F.explode(F.array_compact(both)).alias("x")).select(
-        "perpetual_id",
-        "x.p.*",
+    hours = hours.select("perpetual_id", "hour", F.coalesce(F.sum("final").over(earlier), F.lit(0)).alias("before"))
+    placed = rows.withColumn("again", F.row_number().over(in_hour) > 1).join(hours, ["perpetual_id", "hour"])
+    return placed.select(
+        "perpetual_id", "rel", "eid", "timestamp_ms", "block_number", "slot0",
         F.lit("market_funding").alias("kind"),
-        F.col("x.p.pay").alias("funding_payment_pns"),
-        F.col("x.p.pay").alias("funding_rate_pct100k"),
-        (F.col("before") + F.col("x.p.pay")).alias("funding_sum_pns"),
+        F.col("pay").alias("funding_payment_pns"),
+        F.col("pay").alias("funding_rate_pct100k"),
+        (F.col("before") + F.col("pay")).alias("funding_sum_pns"),
         F.expr(f"{BASE_BLOCK} + (hour + 1) * 9000").alias("funding_event_block"),
-        F.col("x.again").alias("funding_allow_overwrite"),
-    )
+        F.col("again").alias("funding_allow_overwrite"),
+    )
 
 
 def _scales(spark: SparkSession) -> DataFrame:

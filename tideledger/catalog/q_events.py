@@ -207,7 +207,7 @@ def recent_window(spark, sf):
 )
 def replay_order(spark, sf):
     """Place of each event in its position, the same after any shuffle of the input."""
-    found = ledger.position_events(b.book(spark, sf).repartition(7), b.CUT)
+    found = ledger.position_events(b.book(spark, sf), b.CUT)
     placed = ledger.running(found, ledger.POSITION, ["block_number", "log_index", "tx_hash"], sums={"place": F.lit(1).cast("long")})
     return placed.select("event_id", "account_id", "place")
 
@@ -254,7 +254,7 @@ def distinct_scope(spark, sf):
     q.with_book() + "SELECT event_id, CAST(lot_lns // CAST(10**size_decimals AS BIGINT) AS BIGINT) AS whole, CAST((lot_lns % CAST(10**size_decimals AS BIGINT)) * CAST(10**(14-size_decimals) AS BIGINT) AS BIGINT) AS fraction_e14 FROM book JOIN mk USING (perpetual_id) WHERE kind='maker_fill'",
 )
 def from_native(spark, sf):
-    rows = b.book(spark, sf).where(kind_is("maker_fill")).join(b.REGISTRY.listed(spark), "perpetual_id")
+    rows = b.REGISTRY.attach(b.book(spark, sf).where(kind_is("maker_fill")))
     units = units_from_native(F.col("lot_lns"), F.col("size_decimals"))
     coin = F.lit(65536 * 10**14).cast("decimal(38,0)")
     return rows.select(
@@ -278,15 +278,15 @@ def margin_fraction(spark, sf):
 NOTIONAL_SQL = f"CAST(price_pns AS HUGEINT)*lot_lns*65536*CAST(10**(14-price_decimals-size_decimals) AS HUGEINT)//{CNS_UNITS}"
 
 
-@query("M3_notional", q.with_tape() + f"SELECT event_id, CAST({NOTIONAL_SQL} AS BIGINT) AS notional_cns FROM tape JOIN mk USING (perpetual_id) WHERE kind='maker_fill' AND listed")
+@query("M3_notional", q.with_tape() + f"SELECT event_id, CAST({NOTIONAL_SQL} AS BIGINT) AS notional_cns FROM tape JOIN mk USING (perpetual_id) WHERE kind='maker_fill'")
 def notional(spark, sf):
-    rows = b.tape(spark, sf).where(kind_is("maker_fill")).join(b.REGISTRY.listed(spark), "perpetual_id")
+    rows = b.TAPE_REGISTRY.attach(b.tape(spark, sf).where(kind_is("maker_fill")))
     return rows.select("event_id", cns(accounting.notional(F.col("price_pns"), F.col("lot_lns"), accounting.amount_factor())).alias("notional_cns"))
 
 
-@query("J1_events_x_market", q.with_tape() + f"SELECT event_id, symbol, CAST({NOTIONAL_SQL} AS BIGINT) AS notional_cns, fee_cns FROM tape JOIN mk USING (perpetual_id) WHERE kind='maker_fill' AND listed AND block_number<={b.TAPE_CUT.block_number}")
+@query("J1_events_x_market", q.with_tape() + f"SELECT event_id, symbol, CAST({NOTIONAL_SQL} AS BIGINT) AS notional_cns, fee_cns FROM tape JOIN mk USING (perpetual_id) WHERE kind='maker_fill' AND block_number<={b.TAPE_CUT.block_number}")
 def events_x_market(spark, sf):
-    fills = ledger.fill_log(b.tape(spark, sf), b.TAPE_CUT).join(b.REGISTRY.listed(spark), "perpetual_id")
+    fills = b.TAPE_REGISTRY.attach(ledger.fill_log(b.tape(spark, sf), b.TAPE_CUT))
     value = accounting.notional(F.col("price_pns"), F.col("lot_lns"), accounting.amount_factor())
     return fills.select("event_id", "symbol", cns(value).alias("notional_cns"), *longs("fee_cns"))
 

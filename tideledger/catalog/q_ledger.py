@@ -422,7 +422,7 @@ mf{tag} AS (SELECT f."window", f.complete, f.perpetual_id, mk.symbol,
   count(*) FILTER (WHERE kind='position_liquidated') AS liquidations,
   COALESCE(SUM(CASE WHEN kind='position_liquidated' THEN CAST(liq_price_pns AS HUGEINT)*liq_lot_lns*{scale} END),0)//{CNS_UNITS} AS liquidation_notional,
   count(DISTINCT account_id) AS active_accounts
-  FROM fe{tag} f JOIN mk ON mk.perpetual_id=f.perpetual_id AND mk.listed WHERE kind IN {q.TRADING} GROUP BY 1,2,3,4)"""
+  FROM fe{tag} f JOIN mk ON mk.perpetual_id=f.perpetual_id WHERE kind IN {q.TRADING} GROUP BY 1,2,3,4)"""
 
 
 FLOW_OUT = ["volume", "trades", "fill_fees", "protocol_fees", "insurance_fees", "liquidations", "liquidation_notional", "active_accounts"]
@@ -437,7 +437,7 @@ def flow_columns():
 
 def tape_flows(spark, sf, basis):
     windows = analytics.report_windows(b.TAPE_CUT, basis, b.REGISTRY)
-    return analytics.window_flows(b.tape(spark, sf), b.REGISTRY, b.TAPE_CUT, windows)
+    return analytics.window_flows(b.tape(spark, sf), b.TAPE_REGISTRY, b.TAPE_CUT, windows)
 
 
 @query("A1_market_flows", q.with_tape(flow_sql(WINDOW_ROWS)) + f"SELECT CAST(perpetual_id AS BIGINT) AS perpetual_id, symbol, {FLOW_LIST} FROM mf WHERE \"window\"='coverage'")
@@ -488,7 +488,7 @@ def window_flows(spark, sf):
 def window_completeness(spark, sf):
     windows = analytics.report_windows(b.TAPE_CUT, SEEN, b.REGISTRY)
     events = b.tape(spark, sf)
-    totals, _ = analytics.window_flows(events, b.REGISTRY, b.TAPE_CUT, windows)
+    totals, _ = analytics.window_flows(events, b.TAPE_REGISTRY, b.TAPE_CUT, windows)
     counted = analytics.window_events(events, b.TAPE_CUT, windows)
     # Four windows.
     return totals.join(F.broadcast(counted), "window").select(

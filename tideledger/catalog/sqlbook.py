@@ -70,17 +70,17 @@ pos AS (
     CASE WHEN kind='position_opened' OR (kind='position_increased' AND cents%2=0) THEN lev*100 END AS leverage_hdths,
     CASE WHEN kind IN ('position_opened','position_increased') AND g%3=0 THEN (cents*37)%65536 END AS price_residue_pnsq16
   FROM sized),
+pubrows AS (
+  SELECT 1 + eid%5 AS perpetual_id, rel // 3600000000 AS hour, rel, eid, timestamp_ms AS ms, block_number AS block, slot0, cents%7-3 AS pay,
+         row_number() OVER (PARTITION BY 1 + eid%5, rel // 3600000000 ORDER BY rel, eid) > 1 AS again
+  FROM base WHERE event_type='signup'),
 pubhours AS (
-  SELECT 1 + eid%5 AS perpetual_id, rel // 3600000000 AS hour,
-         min({{'rel': rel, 'eid': eid, 'ms': timestamp_ms, 'block': block_number, 'slot0': slot0, 'pay': cents%7-3}}) AS a,
-         max({{'rel': rel, 'eid': eid, 'ms': timestamp_ms, 'block': block_number, 'slot0': slot0, 'pay': cents%7-3}}) AS z
-  FROM base WHERE event_type='signup' GROUP BY 1,2),
+  SELECT perpetual_id, hour, arg_max(pay, {{'rel': rel, 'eid': eid}}) AS final FROM pubrows GROUP BY 1,2),
 pubbase AS (
-  SELECT *, COALESCE(SUM(z.pay) OVER (PARTITION BY perpetual_id ORDER BY hour ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS before
+  SELECT *, COALESCE(SUM(final) OVER (PARTITION BY perpetual_id ORDER BY hour ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS before
   FROM pubhours),
 pubs AS (
-  SELECT perpetual_id, hour, before, a AS p, false AS again FROM pubbase
-  UNION ALL SELECT perpetual_id, hour, before, z, true FROM pubbase WHERE z.rel > a.rel),
+  SELECT perpetual_id, hour, before, r AS p, again FROM (SELECT perpetual_id, hour, again, {{'rel': rel, 'eid': eid, 'ms': ms, 'block': block, 'slot0': slot0, 'pay': pay}} AS r FROM pubrows) JOIN pubbase USING (perpetual_id, hour)),
 raw AS (
   SELECT block_number, slot0 AS log_index, '0xt'||eid AS tx_hash, timestamp_ms, 'account_created' AS kind, account_id
     FROM base WHERE eid%50=0 AND account_id%10<>9

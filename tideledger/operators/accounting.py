@@ -127,7 +127,7 @@ def price_positions(state: DataFrame, marks: DataFrame, registry: Registry, as_o
     listed = registry.listed(state.sparkSession)
     # Only marks of registry markets, so the broadcast mark side is bounded.
     known_marks = marks.join(listed.select("perpetual_id"), "perpetual_id", "left_semi")
-    joined = with_marks(state, known_marks, as_of).join(listed, "perpetual_id")
+    joined = registry.attach(with_marks(state, known_marks, as_of))
     is_open = F.col("is_open")
     cns = F.lit(registry.collateral_decimals)
     basic = joined.withColumns(

@@ -167,7 +167,7 @@ def window_flows(events: DataFrame, registry: Registry, as_of: AsOf, windows: li
     cns = F.lit(registry.collateral_decimals)
     steps = F.explode(F.sequence(F.col("rank"), F.lit(last))).alias("window")
     market_rows = (
-        _scaled(per_rank.where("traded = 1").join(listed, "perpetual_id"), registry)
+        _scaled(registry.attach(per_rank.where("traded = 1")), registry)
         .select("perpetual_id", "symbol", "accounts", *FLOW_COLUMNS, steps)
         .groupBy("window", "perpetual_id", "symbol")
         .agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in FLOW_COLUMNS], F.sum("accounts").alias("active_accounts"))
@@ -318,7 +318,7 @@ def protocol_metrics(
         *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in [*wanted, "open_interest_u", "tvl_u"]],
         F.count("account_id").alias("active_accounts"),
     )
-    priced = grouped.join(registry.listed(events.sparkSession), "perpetual_id")
+    priced = registry.attach(grouped.where("perpetual_id is not null"))
     full = priced.withColumns({"deposits_cns": dec(0), "withdrawals_cns": dec(0)})
     return (
         _scaled(full, registry)

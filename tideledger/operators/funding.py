@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tideledger.functions.exact import Q16, UNIT_DIGITS, dec, pow10, units_from_native
 from tideledger.operators.checks import exploded, with_event_id
 from tideledger.operators.ledger import ORDER, POSITION, kind_is, position_history, sequence, signed_lot
-from tideledger.operators.running import HOT_ROWS
+from tideledger.operators.running import RANGE_WIDTH
 from tideledger.params import AsOf, FundingScope, Registry
 from tideledger.schema import FUNDING_KINDS, SETTLE_KINDS
 
@@ -228,7 +228,7 @@ def cutoff_totals(schedule: DataFrame, as_of: AsOf) -> DataFrame:
 
 
 def funded_history(
-    events: DataFrame, registry: Registry, as_of: AsOf, scope: FundingScope, *, hot_rows: int = HOT_ROWS
+    events: DataFrame, registry: Registry, as_of: AsOf, scope: FundingScope, *, range_width: int = RANGE_WIDTH
 ) -> DataFrame:
     """Position history with the funding that accrued in each interval."""
     scope.validate(registry, as_of)
@@ -237,7 +237,7 @@ def funded_history(
         with_event_id(events.where(F.col("account_id").isNotNull() & F.col("perpetual_id").isNotNull())),
         funding_calendar(schedule, as_of),
     )
-    history = position_history(position_rows, as_of, extra=list(TOTALS), counted=events, hot_rows=hot_rows)
+    history = position_history(position_rows, as_of, extra=list(TOTALS), range_width=range_width)
     # One row per listed market of the registry, whose size is checked.
     history = history.join(F.broadcast(cutoff_totals(schedule, as_of)), "perpetual_id", "left")
     history = history.join(F.broadcast(baselines(schedule)), "perpetual_id", "left")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tideledger.functions.exact import dec
 from tideledger.operators.checks import exploded, with_event_id
-from tideledger.operators.running import HOT_ROWS, running
+from tideledger.operators.running import RANGE_WIDTH, running
 from tideledger.params import AsOf
 from tideledger.schema import LONG, POSITION_KINDS, RESET_KINDS, SETTLE_KINDS
 
@@ -106,8 +106,7 @@ def position_history(
     as_of: AsOf,
     *,
     extra: list[str] | None = None,
-    counted: DataFrame | None = None,
-    hot_rows: int = HOT_ROWS,
+    range_width: int = RANGE_WIDTH,
 ) -> DataFrame:
     """State of a position after each of its events, with the state before it.
 
@@ -134,8 +133,7 @@ def position_history(
         sums={n: F.col(f"add_{n}") for n in adds} | {"span": F.col("add_span")},
         before={f"prev_{n}": F.col(f"set_{n}") for n in ("lot_lns", "deposit_cns", "side", "status")},
         leads={"next_block": F.col("block_number")} | {f"next_{c}": F.col(c) for c in extra},
-        hot_rows=hot_rows,
-        counted=position_events(events if counted is None else counted, as_of),
+        range_width=range_width,
     )
     full = full.drop(*[f"set_{n}" for n in sets], *[f"add_{n}" for n in adds], "add_span")
     return _finish(full)

@@ -1,14 +1,10 @@
 """Running sums and last-known values in event order, safe for hot keys.
 
-A plain window sends every row of a key to one task.  Here a key with more
-than ``hot_rows`` rows is cut into consecutive block ranges.  Each range runs
-its own window; a per-range summary (partial sums, last and first values) is
-scanned once and carried into the rows of the later ranges.  Keys below the
-limit keep a single range, so they cost one shuffle, as a plain window does.
-
-Whether any hot key exists is asked first with one column-pruned, map-side
-combined count; without one the plan is a single plain window.  The table of
-hot keys is broadcast: it has at most ``rows / hot_rows`` rows by construction.
+A plain window sends every row of a key to one task.  Here the rows of a key are cut into
+ranges of equal width on the first order column, always and for every key: each range runs its
+own window, a summary per range (partial sums, last and first values) is carried into the
+later ranges.  A task holds one range of a key; what is scanned per key is one row per range.
+The plan does not depend on the size of the data, and nothing runs while it is built.
 """
 
 from __future__ import annotations
@@ -16,22 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_ROWS = 2_000_000
-
-
-def hot_ranges(df: DataFrame, keys: list[str], axis: str, hot_rows: int) -> DataFrame:
-    """Keys with more than ``hot_rows`` rows: first axis value and range width."""
-    stats = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(axis).alias("_lo"), F.max(axis).alias("_hi")
-    )
-    parts = F.ceil(F.col("_n") / F.lit(hot_rows)).cast("long")
-    width = F.ceil((F.col("_hi") - F.col("_lo") + 1) / parts).cast("long")
-    return stats.where(F.col("_n") > hot_rows).select(*keys, "_lo", width.alias("_width"))
-
-
-def has_hot_key(df: DataFrame, keys: list[str], axis: str, hot_rows: int) -> bool:
-    """One flag reaches the driver, never the keys themselves."""
-    return bool(hot_ranges(df.select(*keys, axis), keys, axis, hot_rows).select(F.lit(1)).take(1))
+#: Width of a range in blocks: about a day.
+RANGE_WIDTH = 216_000
 
 
 def running(
@@ -43,8 +25,7 @@ def running(
     lasts: dict[str, Column] | None = None,
     before: dict[str, Column] | None = None,
     leads: dict[str, Column] | None = None,
-    hot_rows: int = HOT_ROWS,
-    counted: DataFrame | None = None,
+    range_width: int = RANGE_WIDTH,
 ) -> DataFrame:
     """Add ordered columns per key; ``order[0]`` must be an integer axis.
 
@@ -52,22 +33,11 @@ def running(
     lasts:  last non-null value up to and including the row
     before: last non-null value strictly before the row
     leads:  value of the next row of the key
-
-    ``counted`` may give the same keys and axis from before an expensive join.
     """
-    counted = df if counted is None else counted
     sums, lasts, before, leads = sums or {}, lasts or {}, before or {}, leads or {}
     inputs = {f"_in_{n}": e for part in (sums, lasts, before, leads) for n, e in part.items()}
     base = df.withColumns(inputs)
-    if not has_hot_key(counted, keys, order[0], hot_rows):
-        return _plain(df, base, keys, order, sums, lasts, before, leads)
-    hot = hot_ranges(counted.select(*keys, order[0]), keys, order[0], hot_rows)
-    tagged = base.join(F.broadcast(hot), keys, "left").withColumn(
-        "_range",
-        F.when(
-            F.col("_width").isNotNull(), F.floor((F.col(order[0]) - F.col("_lo")) / F.col("_width")).cast("long")
-        ).otherwise(F.lit(0).cast("long")),
-    )
+    tagged = base.withColumn("_range", F.floor(F.col(order[0]) / F.lit(range_width)).cast("long"))
     in_range = Window.partitionBy(*keys, "_range").orderBy(*order)
     upto = in_range.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     prior = in_range.rowsBetween(Window.unboundedPreceding, -1)
@@ -85,7 +55,7 @@ def running(
         value = F.col(f"_in_{n}")
         summary.append(F.max_by(value, F.when(value.isNotNull(), position)).alias(f"_part_{n}"))
     summary += [F.min_by(F.col(f"_in_{n}"), position).alias(f"_part_{n}") for n in leads]
-    ranges = tagged.where(F.col("_width").isNotNull()).groupBy(*keys, "_range").agg(*summary)
+    ranges = tagged.groupBy(*keys, "_range").agg(*summary)
     by_key = Window.partitionBy(*keys).orderBy("_range")
     earlier = by_key.rowsBetween(Window.unboundedPreceding, -1)
     carried = {f"_carry_{n}": F.sum(F.col(f"_part_{n}")).over(earlier) for n in sums}
@@ -103,14 +73,3 @@ def running(
     for n in leads:
         result[n] = F.when(F.col("_is_last"), F.col(f"_carry_{n}")).otherwise(F.col(f"_out_{n}"))
     return joined.select(*df.columns, *[e.alias(n) for n, e in result.items()])
-
-
-def _plain(df, base, keys, order, sums, lasts, before, leads) -> DataFrame:
-    window = Window.partitionBy(*keys).orderBy(*order)
-    upto = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    prior = window.rowsBetween(Window.unboundedPreceding, -1)
-    result = {n: F.coalesce(F.sum(F.col(f"_in_{n}")).over(upto), F.lit(0)) for n in sums}
-    result |= {n: F.last(F.col(f"_in_{n}"), True).over(upto) for n in lasts}
-    result |= {n: F.last(F.col(f"_in_{n}"), True).over(prior) for n in before}
-    result |= {n: F.lead(F.col(f"_in_{n}")).over(window) for n in leads}
-    return base.select(*df.columns, *[e.alias(n) for n, e in result.items()])

@@ -111,6 +111,13 @@ class Registry:
         """Listed markets as a broadcast side of at most MAX_REGISTRY_MARKETS rows."""
         return F.broadcast(self.frame(spark).where("listed").drop("listed"))
 
+    def attach(self, rows: DataFrame) -> DataFrame:
+        """Market columns on every row; a row of a market that is not listed fails the job."""
+        known = rows.join(self.listed(rows.sparkSession), "perpetual_id", "left")
+        stop = F.raise_error(F.concat(F.lit("market is not listed: "), F.coalesce(F.col("perpetual_id").cast("string"), F.lit("none"))))
+        checked = {c: F.when(F.col("symbol").isNull(), stop).otherwise(F.col(c)) for c in ("price_decimals", "size_decimals")}
+        return known.withColumns({**checked, "symbol": F.when(F.col("symbol").isNull(), stop).otherwise(F.col("symbol"))})
+
 
 def local_frame(spark: SparkSession, rows: list[dict], schema: pa.Schema) -> DataFrame:
     """A small constant table (rules, shocks, windows) as a local relation."""

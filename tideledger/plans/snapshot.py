@@ -26,7 +26,7 @@ def historical(
     window: DataFrame, events: DataFrame, positions: DataFrame, eligible: DataFrame, registry: Registry, as_of: AsOf
 ) -> DataFrame:
     """Pinned window in long form: fills of everyone, positions of replayable accounts."""
-    fills = window.where(kind_is("maker_fill") & as_of.includes()).join(registry.listed(events.sparkSession), "perpetual_id")
+    fills = registry.attach(window.where(kind_is("maker_fill") & as_of.includes()))
     flows = fills.groupBy("perpetual_id", "price_decimals", "size_decimals").agg(
         F.sum(F.col("price_pns") * F.col("lot_lns")).alias("v"), F.count(F.lit(1)).alias("n")
     )

@@ -25,10 +25,13 @@ def local_session(cpus: int | str = 8, name: str = "tideledger") -> SparkSession
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """Shared folder named by the session; a temporary one only where none is set (tests)."""
+    """Shared folder named by the session.  A temporary one stands in on one machine only: on a
+    cluster its executors would not share it, so there a missing setting is an error."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
