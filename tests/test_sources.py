@@ -172,6 +172,37 @@ def test_snapshot_and_export(spark, tmp_path):
         snapshot.build_snapshot(events.unionByName(events.limit(1)), kit.registry(), cut, Coverage(143, sample.DEPLOYED, cut.block_number))
 
 
+def broken(events, rule):
+    first = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("tx_hash")))
+    change = {
+        "broken transition": ("position_increased", "start_lot_lns", F.col("start_lot_lns") + 1),
+        "negative flow": ("collateral_withdrawal", "amount_cns", -F.col("amount_cns")),
+        "unlisted market": ("maker_fill", "perpetual_id", F.lit(99)),
+    }[rule]
+    kind, column, value = change
+    target = events.agg(first(kind)).first()[0]
+    return events.withColumn(column, F.when(F.col("tx_hash") == target, value).otherwise(F.col(column)).cast(events.schema[column].dataType))
+
+
+@pytest.mark.parametrize("rule", ["broken transition", "negative flow", "unlisted market"])
+def test_snapshots_fail_closed(spark, rule):
+    cut_ms = sample.T0 + 10 * sample.DAY
+    block = sample.block_at(cut_ms)
+    cut = AsOf(143, block, "0x" + sha256(f"block-{block}".encode()).hexdigest(), cut_ms)
+    events, coverage = sample.events(spark), Coverage(143, sample.DEPLOYED, cut.block_number)
+    with pytest.raises(DataQualityError, match="broken transition|negative|invalid event|unlisted|ledger guard"):
+        snapshot.build_snapshot(broken(events, rule), kit.registry(), cut, coverage)
+
+
+def test_a_supplied_mark_must_not_contradict(spark):
+    cut_ms = sample.T0 + 10 * sample.DAY
+    cut = AsOf(143, sample.block_at(cut_ms), "0xcut", cut_ms)
+    events = sample.events(spark)
+    canonical = ledger.latest_marks(events, cut).withColumn("oracle_pns", F.lit(None).cast("decimal(38,0)"))
+    assert accounting.mark_conflicts(events, canonical, cut).count() == 0
+    assert accounting.mark_conflicts(events, canonical.withColumn("mark_pns", F.col("mark_pns") + 1), cut).count() == canonical.count()
+
+
 def test_registry_and_context_evidence(spark):
     registered = kit.registry().frame(spark)
     observed = registered.where("perpetual_id <> 31").withColumn(

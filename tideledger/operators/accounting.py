@@ -77,6 +77,16 @@ def effective_marks(events: DataFrame, supplied: DataFrame | None, as_of: AsOf)
     return canonical.unionByName(extra)
 
 
+def mark_conflicts(events: DataFrame, supplied: DataFrame, as_of: AsOf) -> DataFrame:
+    """Supplied marks of markets whose canonical mark is another one."""
+    fields = ("mark_pns", "block_number", "timestamp_ms")
+    mine = latest_marks(events, as_of).select("perpetual_id", *[F.col(c).alias(f"c_{c}") for c in fields])
+    differs = ~F.col("mark_pns").eqNullSafe(F.col("c_mark_pns"))
+    for c in fields[1:]:
+        differs = differs | ~F.col(c).eqNullSafe(F.col(f"c_{c}"))
+    return supplied.join(mine, "perpetual_id").where(differs)
+
+
 def attach_source_event(marks: DataFrame, canonical: DataFrame) -> DataFrame:
     """Event id behind a supplied mark, only if it equals the canonical mark."""
     mine = canonical.select(

@@ -6,15 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideledger.errors import DataQualityError
-from tideledger.operators import accounting, analytics, checks, cohort, evidence, signals
+from tideledger.operators import accounting, analytics, checks, cohort, evidence, funding, ledger, signals
 from tideledger.operators.accounting import amount_factor, notional
 from tideledger.operators.checks import require_clean, with_event_id
 from tideledger.operators.ledger import kind_is
 from tideledger.params import AsOf, Coverage, FundingScope, Registry
 from tideledger.plans import scans
 
-SNAPSHOT_EVENTS = 100_000
-
 
 def protocol_view(totals: DataFrame, states: DataFrame) -> DataFrame:
     """Coverage-window totals next to market and position counts; both sides are one row."""
@@ -42,7 +40,27 @@ def visible_events(events: DataFrame, accounts: DataFrame, as_of: AsOf) -> DataF
     kept = with_event_id(events.where(as_of.includes()))
     mine = kept.join(accounts.select("account_id").distinct(), "account_id", "left_semi")
     shared = kept.where(kind_is("mark_updated", "market_funding", "funding_scale_updated", "position_liquidated"))
-    return scans.union_dedupe([mine.select(*kept.columns), shared], strict=False)
+    return scans.union_dedupe([mine.select(*kept.columns), shared])
+
+
+def require_sound(events: DataFrame, registry: Registry, as_of: AsOf, scope: FundingScope | None = None, supplied_marks: DataFrame | None = None, held: DataFrame | None = None) -> None:
+    """Everything that must hold before a figure is given; the first violation raises.
+
+    ``held`` are the events whose positions are replayed, where others are only looked at.
+
+    Each check is one short-circuiting job of which a single row reaches the driver.
+    """
+    require_clean(checks.validate_events(events), "invalid event")
+    require_clean(checks.ledger_guards(events, registry, as_of), "ledger guard")
+    require_clean(checks.unlisted_market_events(events.where(as_of.includes()), registry), "unlisted market")
+    require_clean(analytics.negative_flows(events, as_of), "negative flow")
+    require_clean(ledger.transition_violations(ledger.position_history(events if held is None else held, as_of)), "broken transition")
+    if scope is not None:
+        require_clean(funding.timeline_violations(events, as_of), "funding timeline")
+        require_clean(funding.scope_violations(events, as_of, scope), "funding before the scope")
+    if supplied_marks is not None:
+        require_clean(accounting.mark_conflicts(events, supplied_marks, as_of), "supplied mark differs from the canonical one")
+    require_clean(checks.mark_violations(accounting.effective_marks(events, supplied_marks, as_of), as_of), "inconsistent mark")
 
 
 def build_snapshot(
@@ -61,12 +79,9 @@ def build_snapshot(
     written under the same ``snapshot_id``.
     """
     events = with_event_id(events)
-    require_clean(checks.validate_events(events), "invalid event")
-    require_clean(checks.ledger_guards(events, registry, as_of), "ledger guard")
-    require_clean(checks.unlisted_market_events(events.where(as_of.includes()), registry), "unlisted market")
+    require_sound(events, registry, as_of, scope, supplied_marks)
     checks.require_gate(events, as_of, coverage)
     marks = accounting.effective_marks(events, supplied_marks, as_of)
-    require_clean(checks.mark_violations(marks, as_of), "inconsistent mark")
     positions = accounting.position_risk(events, registry, as_of, scope, supplied_marks)
     eligible = accounting.replay_eligibility(events, as_of, coverage, registry)
     windows = analytics.report_windows(as_of, coverage, registry)
@@ -77,6 +92,7 @@ def build_snapshot(
     wallets = accounting.wallets(events, positions, registry, as_of)
     stats = cohort.wallet_stats(wallets, eligible)
     report = signals.signal_report(positions, eligible, states, day, as_of)
+    require_clean(signals.repeated_signals(report), "repeated signal")
     good = positions.join(eligible.where("eligible").select("account_id"), "account_id", "left_semi")
     tables = {
         "wallets": accounting.wallet_quality(wallets, eligible),
@@ -104,15 +120,15 @@ def build_snapshot(
 def watchlist_snapshot(
     events: DataFrame, accounts: list[int], registry: Registry, as_of: AsOf, coverage: Coverage, scope: FundingScope | None = None
 ) -> dict[str, DataFrame]:
-    """One job for all accounts of a watchlist of 1 to 20 at a shared cutoff."""
-    if not 1 <= len(accounts) <= 20 or len(set(accounts)) != len(accounts):
-        raise DataQualityError("a watchlist holds 1 to 20 distinct accounts")
+    """One job for all accounts of a watchlist at a shared cutoff, after the same checks as a
+    full snapshot; its events, marks and hash have no limit."""
+    if not accounts or len(set(accounts)) != len(accounts):
+        raise DataQualityError("a watchlist holds distinct accounts, one at least")
     spark = events.sparkSession
     watched = spark.createDataFrame([(a,) for a in accounts], "account_id long")
     seen = visible_events(events, watched, as_of)
-    if seen.limit(SNAPSHOT_EVENTS + 1).count() > SNAPSHOT_EVENTS:
-        raise DataQualityError(f"watchlist holds more than {SNAPSHOT_EVENTS} events")
     mine = seen.join(F.broadcast(watched), "account_id", "left_semi").unionByName(seen.where("account_id is null"), allowMissingColumns=True)
+    require_sound(seen, registry, as_of, scope, held=mine)
     positions = accounting.position_risk(mine, registry, as_of, scope)
     eligible = accounting.replay_eligibility(mine, as_of, coverage, registry)
     wallets = accounting.wallets(mine, positions, registry, as_of)
@@ -123,7 +139,7 @@ def watchlist_snapshot(
         "events": scans.event_view(seen),
         "signals": report,
         "overlap": cohort.exposure_overlap(cohort.exposures(positions, eligible), watched),
-        "manifest": evidence.ids_hash_exact(seen, as_of),
+        "manifest": evidence.ids_hash_tree(seen, as_of),
     }
 
 
