@@ -121,7 +121,7 @@ def watchlist_snapshot(
     events: DataFrame, accounts: list[int], registry: Registry, as_of: AsOf, coverage: Coverage, scope: FundingScope | None = None
 ) -> dict[str, DataFrame]:
     """One job for all accounts of a watchlist at a shared cutoff, after the same checks as a
-    full snapshot; its events, marks and hash have no limit."""
+    full snapshot; its events, marks and hash have no limit (pairs need 20 accounts at most)."""
     if not accounts or len(set(accounts)) != len(accounts):
         raise DataQualityError("a watchlist holds distinct accounts, one at least")
     spark = events.sparkSession
