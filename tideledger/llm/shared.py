@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,6 +35,11 @@ class Workspace:
         rows.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
+    def free(self) -> None:
+        """Lets Spark remove shuffle files of finished steps now, not at some later collection."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
         for table in tables:
             parents = {f.rsplit("/", 1)[0] for f in table.inputFiles()}

@@ -9,14 +9,17 @@ it stands for, so all documents on all executors give the same name to the same
 rounds need no exchange.  Every symbol knows the words that its existence depends on; two
 equal windows hold the same symbols wherever those words lie inside the window.
 
-*Reveal.*  A window's key is its least such symbol of the last round; a window without one
-(inside long runs) is its own key.  Neighbouring windows share keys, so a document has one
+*Reveal.*  A window's key is its least such symbol of the last round, named together with the
+words that it depends on; a window without one (inside long runs) is its own key.  Neighbouring windows share keys, so a document has one
 (key, first, last) row per dozen words or so.  Keys of two or more documents reveal possible
 repeats.
 
-*Verify.*  Windows under shared keys are compared by 128-bit hashes of their word sequence:
-the least id of each hash is found by partial aggregation, and a window of a larger id is a
-repeat.  Documents with equal words are one class and take part once.
+*Verify.*  First whole ranges: a range whose key and hash of all its words are those of a
+document with a smaller id holds repeats only.  Where ranges of one key differ (near an edit or
+the end of a passage), the first one of each kind is taken apart, and its windows are compared
+by 128-bit hashes of their words.  The least id of each hash comes from partial aggregation.
+Texts are shuffled only for documents that a bitmap of fixed size names, which costs time,
+never a result, when it fills up.
 
 Defined results: null, empty and blank texts have no words; texts shorter than the window are
 kept whole; rows of one id never count as repeats of each other, whatever their texts; other
@@ -33,13 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideledger.llm.decontamination import bitmap
 from tideledger.llm.shared import Workspace, bare, id_back, id_of, small_batches
-from tideledger.llm.words import SOLID, Piece, mix, pieces, run_hashes, word_hashes, words
+from tideledger.llm.words import BASE, BASE_INVERSE, SOLID, Piece, mix, pieces, powers, run_hashes, word_hashes, words
 
 WINDOW = 50
 ROUNDS = 3
 _U = np.uint64
-_KEY = np.dtype([("key", "<i8"), ("first", "<i4"), ("last", "<i4")])
+_KEY = np.dtype([("key", "<i8"), ("span", "<i8"), ("first", "<i4"), ("last", "<i4")])
 
 
 def _bounded(sym, row, low, high, edges):
@@ -90,6 +94,13 @@ def recompress(hashes: np.ndarray, first: np.ndarray, rounds: int = ROUNDS) -> t
     return sym, low, high
 
 
+def _sums(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums of which (sums[b] - sums[a]) * inverse[a] is a hash of words a..b."""
+    sums = np.zeros(len(hashes) + 1, _U)
+    np.cumsum(mix(hashes + _U(9)) * powers("up", BASE, len(hashes) + 1)[: len(hashes)], out=sums[1:])
+    return sums, powers("down", BASE_INVERSE, len(hashes) + 1)
+
+
 def window_keys(hashes: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts of all windows inside rows, and their keys."""
     counts = np.maximum(np.diff(first) - window + 1, 0)
@@ -98,6 +109,9 @@ def window_keys(hashes: np.ndarray, first: np.ndarray, window: int) -> tuple[np.
         return np.zeros(0, np.int64), np.zeros(0, _U)
     begin = np.repeat(first[:-1] - (np.cumsum(counts) - counts), counts) + np.arange(total)
     sym, low, high = recompress(hashes, first)
+    sums, inverse = _sums(hashes)
+    at, end = np.maximum(low, 0), np.minimum(high, len(hashes))
+    sym = mix(sym + (sums[end] - sums[at]) * inverse[at])  # with the words it depends on: far more telling
     a, b = np.searchsorted(low, begin, "left"), np.searchsorted(high, begin + window, "right")
     keys = mix(run_hashes(hashes, window)[begin] + _U(1))  # of windows without a whole symbol
     width = b - a
@@ -136,6 +150,7 @@ def keyed(docs: DataFrame, window: int) -> DataFrame:
                 hashes = word_hashes(piece, found, False)
                 begin, key = window_keys(hashes, found.first, window)
                 spans = np.searchsorted(begin, found.first)
+                sums, inverse = _sums(hashes)
                 counts.append(found.counts())
                 for r in range(piece.rows):
                     digests.append(_sha(_joined(piece, found, r)))
@@ -144,6 +159,8 @@ def keyed(docs: DataFrame, window: int) -> DataFrame:
                     cut = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if j > i else np.zeros(0, np.int64)
                     rows = np.empty(len(cut), _KEY)
                     rows["key"], rows["first"], rows["last"] = own[cut].view(np.int64), cut, np.append(cut[1:], j - i) - 1 if len(cut) else cut
+                    a, b = found.first[r] + rows["first"], found.first[r] + rows["last"] + window
+                    rows["span"] = mix((sums[b] - sums[a]) * inverse[a] + (b - a).astype(_U)).view(np.int64)
                     keys.append(rows.tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(np.concatenate(counts) if counts else [], pa.int64()), pa.array(digests, pa.string()), pa.array(keys, pa.binary())],
@@ -162,9 +179,9 @@ def spread(rows: DataFrame) -> DataFrame:
             own = np.frombuffer(b"".join(raw), _KEY)
             times = [len(x) // _KEY.itemsize for x in raw]
             ids = [pa.array(np.repeat(batch.column(k).to_numpy(zero_copy_only=False), times)) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*ids, *[pa.array(np.ascontiguousarray(own[c])) for c in ("key", "first", "last")]], ["doc", "mark", "key", "first", "last"])
+            yield pa.RecordBatch.from_arrays([*ids, *[pa.array(np.ascontiguousarray(own[c])) for c in _KEY.names]], ["doc", "mark", *_KEY.names])
 
-    return rows.select("doc", "mark", "keys").mapInArrow(explode, "doc long, mark long, key long, first int, last int")
+    return rows.select("doc", "mark", "keys").mapInArrow(explode, "doc long, mark long, key long, span long, first int, last int")
 
 
 def window_hashes(docs: DataFrame, window: int) -> DataFrame:
@@ -195,20 +212,20 @@ def window_hashes(docs: DataFrame, window: int) -> DataFrame:
 
 
 def without(docs: DataFrame, window: int) -> DataFrame:
-    """Documents with their repeated windows (starts): what is left of the words."""
+    """Documents with the ranges of their repeated windows: what is left of the words."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            starts = batch.column("starts").to_pylist()
+            starts = batch.column("ranges").to_pylist()
             removed, digests, texts = [], [], []
             for piece in pieces(batch.column("text")):
                 found = words(piece, SOLID)
                 for r in range(piece.rows):
                     n = int(found.first[r + 1] - found.first[r])
-                    at = np.array(starts[piece.first + r], np.int64)
+                    own = starts[piece.first + r]
                     step = np.zeros(n + window + 1, np.int64)
-                    np.add.at(step, at, 1)
-                    np.add.at(step, at + window, -1)
+                    np.add.at(step, np.array([x["first"] for x in own]), 1)
+                    np.add.at(step, np.array([x["last"] for x in own]) + window, -1)
                     gone = np.cumsum(step)[:n] > 0
                     kept = _joined(piece, found, r, ~gone)
                     removed.append(int(gone.sum()))
@@ -219,7 +236,18 @@ def without(docs: DataFrame, window: int) -> DataFrame:
                 ["doc", "mark", "n_removed", "kept_sha256", "kept"],
             )
 
-    return docs.select("doc", "mark", "text", "starts").mapInArrow(cut, "doc long, mark long, n_removed long, kept_sha256 string, kept string")
+    return docs.select("doc", "mark", "text", "ranges").mapInArrow(cut, "doc long, mark long, n_removed long, kept_sha256 string, kept string")
+
+
+def _named(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows that may be of the named documents, by a bitmap of fixed size."""
+    bits = rows.sparkSession.sparkContext.broadcast(np.packbits(bitmap(docs.select(F.xxhash64("doc", "mark").alias("token")))))
+
+    @F.arrow_udf("boolean")
+    def inside(hashes: pa.Array) -> pa.Array:
+        return pa.array(np.unpackbits(bits.value).astype(bool)[(hashes.to_numpy().view(_U) >> _U(40)).astype(np.int64)])
+
+    return rows.where(inside(F.xxhash64("doc", "mark")))
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -231,23 +259,37 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     rows = bare(docs, key, text).select(id_of(key).alias("doc"), F.xxhash64(text).alias("mark"), F.coalesce(text, F.lit("")).alias("text"))
     named = work.keep(keyed(rows, window), "keys")
 
-    # Equal word sequences: only rows of the least id go on, the others are repeats as a whole.
-    classes = named.groupBy("sha").agg(F.min("doc").alias("head"))
-    heads = work.keep(named.where(F.length("keys") > 0).join(classes.select("sha", F.col("head").alias("doc")), ["sha", "doc"], "left_semi").select("doc", "mark", "keys"), "heads")
-    keys = spread(heads)
-    shared = keys.groupBy("key").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("key")
-    ranges = keys.join(shared, "key").groupBy("doc", "mark").agg(F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts"))
-    windows = work.keep(window_hashes(rows.join(ranges, ["doc", "mark"]).select("doc", "mark", "text", "firsts", "lasts"), window), "windows")
-
+    # Ranges under keys of two or more ids; `mixed` where not all ranges of the key are alike.
+    ranges = spread(named.where(F.length("keys") > 0))
+    per_key = ranges.groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.min("span").alias("s"), F.max("span").alias("t"))
+    shared = per_key.where("a < b").select("key", F.expr("s <> t").alias("mixed"))
+    alike = work.keep(ranges.join(shared, "key"), "shared")
+    work.free()
+    least = alike.groupBy("key", "span").agg(F.min("doc").alias("least"))
+    judged = alike.join(least, ["key", "span"]).where("mixed or doc > least")
+    judged = work.keep(judged.select("doc", "mark", "first", "last", F.expr("doc > least").alias("repeat")), "judged")
+    work.drop(alike)
+
+    apart = judged.where("not repeat").groupBy("doc", "mark").agg(F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts"))
+    windows = work.keep(window_hashes(_named(rows, judged.where("not repeat")).join(apart, ["doc", "mark"]).select("doc", "mark", "text", "firsts", "lasts"), window), "windows")
+    work.free()
     least = windows.groupBy("high", "low").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most")
-    repeats = windows.join(least, ["high", "low"]).where("doc > least").groupBy("doc", "mark").agg(F.collect_set("start").alias("starts"))
-    cut = work.keep(without(rows.join(repeats, ["doc", "mark"]).dropDuplicates(["doc", "mark"]), window), "cut")
-
-    flagged = named.select("doc", "mark", "n_words", "sha").join(classes, "sha").join(cut, ["doc", "mark"], "left")
-    whole = (F.col("doc") > F.col("head")) & (F.col("n_words") >= window)
-    return flagged.select(
-        id_back("doc").alias(key), "n_words",
-        F.when(whole, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
-        F.when(whole, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
-        F.when(whole, F.lit("")).otherwise(F.col("kept")).alias("kept"),
+    hits = windows.join(least, ["high", "low"]).where("doc > least").select("doc", "mark", F.col("start").alias("first"), F.col("start").alias("last"))
+    hits = work.keep(judged.where("repeat").select("doc", "mark", "first", "last").unionByName(hits), "hits")
+    work.drop(windows, judged)
+    work.free()
+
+    # A document of which every window is a repeat has no words left; its text is not needed.
+    by_doc = hits.distinct().groupBy("doc", "mark").agg(F.sum(F.expr("last - first + 1")).alias("repeats"), F.collect_list(F.struct("first", "last")).alias("ranges"))
+    cuts = named.select("doc", "mark", "n_words").distinct().join(by_doc, ["doc", "mark"])
+    whole = F.col("repeats") >= F.col("n_words") - (window - 1)
+    partial = work.keep(cuts.where(~whole).select("doc", "mark", "ranges"), "partial")
+    cut = without(_named(rows, partial).join(partial, ["doc", "mark"]).dropDuplicates(["doc", "mark"]), window)
+    none = cuts.where(whole).select("doc", "mark", F.col("n_words").alias("n_removed"), F.sha2(F.lit("").cast("binary"), 256).alias("kept_sha256"), F.lit("").alias("kept"))
+    cut = work.keep(cut.unionByName(none), "cut")
+
+    found = named.select("doc", "mark", "n_words", "sha").join(cut, ["doc", "mark"], "left")
+    return found.select(
+        id_back("doc").alias(key), "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
+        F.coalesce("kept_sha256", "sha").alias("kept_sha256"), "kept",
     )

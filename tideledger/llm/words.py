@@ -15,8 +15,8 @@ import pyarrow as pa
 
 PIECE_BYTES = 1 << 20
 _U = np.uint64
-_BASE = _U(0x9E3779B97F4A7C15 | 1)
-_BASE_INVERSE = _U(pow(int(_BASE), -1, 1 << 64))
+BASE = _U(0x9E3779B97F4A7C15 | 1)
+BASE_INVERSE = _U(pow(int(BASE), -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -127,8 +127,8 @@ def word_hashes(piece: Piece, found: Words, lower: bool, table: int = 0) -> np.n
         lut = lut[LOWER]
     n = len(piece.data)
     sums = np.zeros(n + 1, _U)
-    np.cumsum(lut[piece.data] * powers("up", _BASE, n + 1)[:n], out=sums[1:])
-    inverse = powers("down", _BASE_INVERSE, n + 1)
+    np.cumsum(lut[piece.data] * powers("up", BASE, n + 1)[:n], out=sums[1:])
+    inverse = powers("down", BASE_INVERSE, n + 1)
     value = (sums[found.ends] - sums[found.starts]) * inverse[found.starts]
     return mix(value + (found.ends - found.starts).astype(_U) * _U(0x9E3779B97F4A7C15))
 
@@ -139,9 +139,9 @@ def run_hashes(values: np.ndarray, width: int) -> np.ndarray:
     if n < width:
         return np.zeros(0, _U)
     sums = np.zeros(n + 1, _U)
-    np.cumsum(values * powers("up", _BASE, n + 1)[:n], out=sums[1:])
+    np.cumsum(values * powers("up", BASE, n + 1)[:n], out=sums[1:])
     at = np.arange(n - width + 1)
-    return mix((sums[at + width] - sums[at]) * powers("down", _BASE_INVERSE, n + 1)[at] + _U(width))
+    return mix((sums[at + width] - sums[at]) * powers("down", BASE_INVERSE, n + 1)[at] + _U(width))
 
 
 def shingle_sets(piece: Piece, inside: np.ndarray, width: int, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
