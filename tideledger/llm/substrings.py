@@ -262,21 +262,23 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     # Ranges under keys of two or more ids; `mixed` where not all ranges of the key are alike.
     ranges = spread(named.where(F.length("keys") > 0))
     per_key = ranges.groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.min("span").alias("s"), F.max("span").alias("t"))
-    shared = per_key.where("a < b").select("key", F.expr("s <> t").alias("mixed"))
+    # Written first, so that the join below has plain exchanges, which Spark can split where a key is hot.
+    shared = work.keep(per_key.where("a < b").select("key", F.expr("s <> t").alias("mixed")), "shared-keys")
     alike = work.keep(ranges.join(shared, "key"), "shared")
     work.free()
-    least = alike.groupBy("key", "span").agg(F.min("doc").alias("least"))
+    least = work.keep(alike.groupBy("key", "span").agg(F.min("doc").alias("least")), "least")
     judged = alike.join(least, ["key", "span"]).where("mixed or doc > least")
     judged = work.keep(judged.select("doc", "mark", "first", "last", F.expr("doc > least").alias("repeat")), "judged")
-    work.drop(alike)
+    work.drop(alike, shared, least)
 
     apart = judged.where("not repeat").groupBy("doc", "mark").agg(F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts"))
     windows = work.keep(window_hashes(_named(rows, judged.where("not repeat")).join(apart, ["doc", "mark"]).select("doc", "mark", "text", "firsts", "lasts"), window), "windows")
     work.free()
     least = windows.groupBy("high", "low").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most")
+    least = work.keep(least, "least-windows")
     hits = windows.join(least, ["high", "low"]).where("doc > least").select("doc", "mark", F.col("start").alias("first"), F.col("start").alias("last"))
     hits = work.keep(judged.where("repeat").select("doc", "mark", "first", "last").unionByName(hits), "hits")
-    work.drop(windows, judged)
+    work.drop(windows, judged, least)
     work.free()
 
     # A document of which every window is a repeat has no words left; its text is not needed.
