@@ -241,6 +241,26 @@ def test_components(frame, monkeypatch, block):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == samples.components(rows, 4, 85)
 
 
+def test_a_wide_cell_is_sent_a_few_times(frame, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    rng = random.Random(4)
+    base = [f"b{i}" for i in range(200)]
+    rows = [row(i, " ".join(w if j != i % 200 else f"own{i}" for j, w in enumerate(base))) for i in range(240)]
+    rows += [row(300 + i, " ".join([*base[:100], *[f"far{rng.randrange(9999)}" for _ in range(100)]])) for i in range(6)]
+    sent, search = [], jaccard_join._links
+
+    def watched(members, *how):
+        keys = [c for c in ("cell", "block", "chunk") if c in members.columns]
+        sent.append([r["count"] for r in members.groupBy(*keys).count().collect()])
+        return search(members, *how)
+
+    monkeypatch.setattr(jaccard_join, "_links", watched)
+    found = jaccard_join.near_duplicates(frame(rows).repartition(3), width=4, percent=85, inside="solid").collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == samples.components(rows, 4, 85)
+    assert len(sent) > 1 and max(map(max, filter(None, sent))) < 60  # a task holds no whole cell
+    assert max(map(sum, sent)) < 3 * len(rows)
+
+
 def test_one_of_each(frame, edge):
     kept = jaccard_join.one_of_each(edge)
     assert kept.columns == edge.columns
