@@ -200,6 +200,21 @@ def test_language(frame):
     assert {r["_language"]["lang"] for r in language.identify(frame(asked), None).collect()} == {"und"}
 
 
+def test_no_language_is_left_out(frame, monkeypatch):
+    monkeypatch.setattr(language, "learn", lambda x, labels: Counter(labels))
+    docs = [row(None if k % 9 == 0 else 10 * k + i, f"text {k} {i}", f"l{k}") for k in range(230) for i in range(5)] + [row(9999, "rare", "rare")]
+    assert language.train(frame(docs), "doc_id", "text", "lang") == Counter({f"l{k}": 5 for k in range(230)})
+    monkeypatch.setattr(language, "SAMPLE", 100 * language.LEAST_ROWS)
+    with pytest.raises(ValueError, match="languages"):
+        language.train(frame(docs), "doc_id", "text", "lang")
+
+
+@pytest.mark.parametrize("n", [7, 500, 501, 10**6, 10**9, 10**12])
+def test_a_language_of_any_size_is_sampled(n):
+    picked = (language.last_hash(n, 500) + (1 << 63) + 1) * n / (1 << 64)
+    assert abs(picked - min(n, 500)) < 0.01
+
+
 def labelled(frame, rows):
     return frame(rows, "doc_id long, quality int, toxic int, score double")
 

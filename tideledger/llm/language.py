@@ -4,8 +4,11 @@ Features are relative frequencies of hashed byte trigrams of the folded text, so
 score is a sum over the text: each trigram looks up its weights, and the sums per document
 are one segmented reduction.  Whole texts are scored; memory is bounded by the piece.
 
-Training uses at most about `rows_per_language` labelled rows of each language, picked by a
-hash of the id (documented bound); executors send one histogram per row to the driver.
+Training uses about `rows_per_language` labelled rows of each language with MIN_ROWS rows, picked
+by a 64-bit hash of id and text, and about SAMPLE rows in all (documented bounds): more than
+SAMPLE / rows_per_language languages get fewer rows each, down to LEAST_ROWS.  More languages than
+SAMPLE / LEAST_ROWS raise an error; none is left out.  Executors send one histogram per row to
+the driver.
 
 Defined results: null texts and texts without a letter are `und` with score 0; with no
 labelled row everything is `und`; a language with fewer than MIN_ROWS sampled rows is not
@@ -21,7 +24,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideledger.llm.shared import bare, small_batches
@@ -30,6 +33,9 @@ from tideledger.llm.words import pieces
 BUCKETS = 4096
 ROWS_PER_LANGUAGE = 500
 MIN_ROWS = 5
+SAMPLE = 100_000
+#: So many expected rows that a hash picks fewer than MIN_ROWS of them in no practical case.
+LEAST_ROWS = 40
 #: Families of common languages; any other language is a family of its own.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "is", "af"),
@@ -160,16 +166,23 @@ def learn(x: np.ndarray, labels: list[str]) -> Model | None:
     return Model(languages, families, of, pairs, weights, bias)
 
 
+def last_hash(n: int, rows: int) -> int:
+    """The largest 64-bit hash that is picked, so that about `rows` of n rows are."""
+    return min((1 << 63) - 1, (rows << 64) // n - (1 << 63))
+
+
 def train(docs: DataFrame, key: str, text: str, lang: str, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model | None:
     """Learns from a sample of the rows given; the caller leaves held-out rows away."""
     labelled = bare(docs, key, text, lang).where(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    counts = {r[lang]: r["count"] for r in labelled.groupBy(lang).count().orderBy(F.desc("count")).limit(200).collect()}
+    most = SAMPLE // LEAST_ROWS
+    counts = {r[lang]: r["count"] for r in labelled.groupBy(lang).count().where(F.col("count") >= MIN_ROWS).limit(most + 1).collect()}
     if not counts:
         return None
-    lot = F.pmod(F.xxhash64(F.col(key), F.lit(11)), F.lit(1_000_000))
-    share: Column = F.lit(0)
-    for name, n in counts.items():
-        share = F.when(F.col(lang) == name, int(min(1.0, rows_per_language / n) * 1_000_000)).otherwise(share)
+    if len(counts) > most:
+        raise ValueError(f"more than {most} languages with {MIN_ROWS} rows or more")
+    each = min(rows_per_language, max(LEAST_ROWS, SAMPLE // len(counts)))
+    picked = docs.sparkSession.createDataFrame([(name, last_hash(n, each)) for name, n in counts.items()], "_picked string, _last long")
+    lot = F.xxhash64(F.col(key), F.col(text), F.lit(11))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,8 +190,9 @@ def train(docs: DataFrame, key: str, text: str, lang: str, rows_per_language: in
                 rows = [h.astype(np.float16).tobytes() for h in histograms(piece)]
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column(1).slice(piece.first, piece.rows)], ["h", "lang"])
 
-    sample = labelled.where(lot < share).select(text, F.col(lang).alias("lang")).mapInArrow(describe, "h binary, lang string")
-    bound = rows_per_language * len(counts)
+    sample = labelled.join(F.broadcast(picked), (F.col(lang) == F.col("_picked")) & (lot <= F.col("_last")))
+    sample = sample.select(text, F.col(lang).alias("lang")).mapInArrow(describe, "h binary, lang string")
+    bound = each * len(counts)
     rows = sample.limit(2 * bound).collect()
     x = np.array([np.frombuffer(bytes(r["h"]), np.float16) for r in rows], np.float32).reshape(-1, BUCKETS)
     return learn(x, [r["lang"] for r in rows])
