@@ -179,6 +179,38 @@ def test_mix_edges(frame, edge):
         mixing.mix(frame([row(i, "x", source=f"s{i}") for i in range(9)]), slots=4)
 
 
+@pytest.mark.parametrize(
+    "weights",
+    [{"hot": 0.5, **{f"s{i}": 0.0556 for i in range(9)}}, {"hot": 0.9, **{f"s{i}": 0.001 + i / 1e6 for i in range(99)}}, {"hot": 3333**0.5, **{f"s{i}": (350 + i) ** 0.5 for i in range(19)}}],
+)
+def test_mix_keeps_to_the_weights_given(weights):
+    total = sum(weights.values())
+    blocks = {s: int(20_000 * w / total) + 1 for s, w in weights.items()}
+    out = list(mixing.in_slots(blocks, mixing.all_weighted(weights)))
+    assert sorted(out) == sorted((s, k) for s, n in blocks.items() for k in range(n))
+    seen = dict.fromkeys(weights, 0)
+    for t in range(int(min(n / weights[s] for s, n in blocks.items()) * total)):
+        seen[out[t][0]] += 1
+        if t % 7 == 0:
+            assert all(abs(n - weights[s] / total * (t + 1)) < 1 for s, n in seen.items())
+
+
+def test_mix_follows_the_fluid_mix_to_the_last_block():
+    rng = random.Random(12)
+    blocks = {f"s{i}": rng.choice([0, 1, 2, 5, 40, 300]) for i in range(40)}
+    weights = {s: rng.choice([0.01, 0.3, 1.0, 7.7]) for s in blocks}
+    out = list(mixing.in_slots(blocks, weights))
+    assert sorted(out) == sorted((s, k) for s, n in blocks.items() for k in range(n))
+    seen = dict.fromkeys(blocks, 0)
+    for t, (s, _) in enumerate(out):
+        seen[s] += 1
+        low, high = 0.0, 1e6  # the moment at which the fluid mix has filled t + 1 slots
+        for _ in range(80):
+            half = (low + high) / 2
+            low, high = (half, high) if sum(min(n, weights[x] * half) for x, n in blocks.items()) < t + 1 else (low, half)
+        assert all(abs(seen[x] - min(n, weights[x] * high)) < 1 for x, n in blocks.items())
+
+
 # --- language, quality, toxicity
 
 
