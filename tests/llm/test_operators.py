@@ -211,6 +211,15 @@ def test_mix_follows_the_fluid_mix_to_the_last_block():
         assert all(abs(seen[x] - min(n, weights[x] * high)) < 1 for x, n in blocks.items())
 
 
+@pytest.mark.parametrize("small", [1 << 18, 0])
+def test_mix_of_more_sources_than_slots(frame, monkeypatch, small):
+    monkeypatch.setattr(mixing, "SMALL_PLAN", small, raising=False)
+    monkeypatch.setattr(mixing, "PIECE", 1000, raising=False)
+    docs = [row(i, "t", source=f"host{i % 1500}" if i % 3 else "hot") for i in range(4000)]
+    places = sorted((r["position"], r["source"]) for r in mixing.mix(frame(docs)).collect())
+    assert len({p for p, _ in places}) == len(docs) and counted((s,) for _, s in places) == counted((d[3],) for d in docs)
+
+
 # --- language, quality, toxicity
 
 
