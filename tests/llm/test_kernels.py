@@ -122,6 +122,13 @@ def test_normalised_text_shows_hidden_words():
     assert toxicity.normalised(next(w.pieces(pa.array(rows)))).rows == len(rows)
 
 
+def test_merkle_fingerprint_of_a_long_line_is_read_back():
+    (tree,) = merkle.trees(pa.array([" ".join(f"w{i % 9973}v{i % 31}" for i in range(600_000))]))
+    read = merkle.parse(tree.text())
+    assert len(tree.segments) > 65_536 and read.paragraphs == tree.paragraphs and read.sections == tree.sections
+    assert np.array_equal(read.segments, tree.segments) and read.text() == tree.text()
+
+
 def test_merkle_finds_the_edit():
     text = "\n".join(" ".join(f"w{i}v{j}" for j in range(60)) for i in range(30))
     edited = text.replace("w12v30", "changed")

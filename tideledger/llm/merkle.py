@@ -6,7 +6,8 @@ chosen by its digest.  Cuts depend on nearby text only, so an edit changes the n
 own branch.  A leaf hashes the bytes of its segment, an inner node the digests below it, the
 root those of the sections and the length.
 
-The fingerprint holds all levels: root '.' sections '.' paragraphs '.' segments, in hex.
+The fingerprint holds all levels: root '.' sections '.' paragraphs '.' segments, in hex;
+an inner node is 16 digits of its digest and 8 of the number of nodes below it.
 Equal roots mean equal texts; `likeness` descends only where digests differ, and gives the
 share of segments that both trees hold.  `changes` names the byte spans of differing branches.
 
@@ -50,7 +51,7 @@ class Tree:
     spans: np.ndarray  # bytes of each segment
 
     def text(self) -> str:
-        nodes = ["".join(f"{d.hex()}{n:04x}" for d, n in level) for level in (self.sections, self.paragraphs)]
+        nodes = ["".join(f"{d.hex()}{n:08x}" for d, n in level) for level in (self.sections, self.paragraphs)]
         return ".".join((self.root, *nodes, self.segments.astype(">u4").tobytes().hex()))
 
     def under(self) -> list[tuple[bytes, np.ndarray]]:
@@ -115,7 +116,7 @@ def parse(fingerprint: str) -> Tree:
     root, sections, paragraphs, segments = fingerprint.split(".")
     levels = []
     for level in (sections, paragraphs):
-        levels.append([(bytes.fromhex(level[i : i + 16]), int(level[i + 16 : i + 20], 16)) for i in range(0, len(level), 20)])
+        levels.append([(bytes.fromhex(level[i : i + 16]), int(level[i + 16 : i + 24], 16)) for i in range(0, len(level), 24)])
     return Tree(root, *levels, np.frombuffer(bytes.fromhex(segments), ">u4").astype(np.uint32), np.zeros(0, np.int64))
 
 
