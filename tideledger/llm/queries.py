@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideledger.llm import decontamination, jaccard_join, language, merkle, mixing, quality, substrings, token_file, toxicity, warc
+from tideledger.llm import conversations, decontamination, jaccard_join, language, merkle, mixing, quality, sentence_pieces, substrings, token_file, toxicity, vector_codes, warc
 from tideledger.llm.shared import Workspace, remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,27 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_substring_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query("op11_sentence_pieces")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = sentence_pieces.encode(table(spark, sf_dir, "documents"), piece_model())
+    told = sentence_pieces.decode(tokens, piece_model())
+    n_tokens = (F.octet_length("ids") / 4).cast("long").alias("n_tokens")
+    return told.select("doc_id", n_tokens, F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query("op12_conversation_repair")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.audit(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_vector_codes")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.coded(table(spark, sf_dir, "embeddings"))
