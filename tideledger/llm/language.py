@@ -53,14 +53,21 @@ _fold[128:] = np.arange(128, 256)
 
 
 def trigrams(piece) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of the trigram at each byte, and whether its middle byte belongs to a letter."""
+    """Bucket of the trigram at each byte, and whether its middle byte belongs to a letter.
+    Whatever lies before and behind a row is blank, so neighbours do not change a row's trigrams."""
     data = _fold[piece.data]
-    if len(data) < 3:
-        return np.zeros(len(data), np.int64), np.zeros(len(data), bool)
-    capital = (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[:-1] == 0xC3)  # capitals of Latin-1
-    data[1:][capital] += 0x20
-    code = np.zeros(len(data), np.uint32)
-    code[1:-1] = (data[:-2].astype(np.uint32) << 16) | (data[1:-1].astype(np.uint32) << 8) | data[2:]
+    starts, ends = piece.bounds[:-1], piece.bounds[1:]
+    starts, ends = starts[starts < len(data)], ends[ends > 0] - 1
+
+    def beside() -> tuple[np.ndarray, np.ndarray]:
+        before, after = np.roll(data, 1), np.roll(data, -1)
+        before[starts], after[ends] = 32, 32
+        return before, after
+
+    before, _ = beside()
+    data[(data >= 0x80) & (data <= 0x9E) & (before == 0xC3)] += 0x20  # capitals of Latin-1
+    before, after = beside()
+    code = (before.astype(np.uint32) << 16) | (data.astype(np.uint32) << 8) | after
     bucket = (code * np.uint32(2654435761)) >> np.uint32(32 - 12)
     return bucket.astype(np.int64), data != 32
 
@@ -230,5 +237,6 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", into: str
 
 def identified(docs: DataFrame, model: Model | None, text: str = "text", lang: str = "lang") -> DataFrame:
     """The documents with a language, which replaces the column `lang`; `und` ones go."""
-    found = identify(docs, model, text).where("_language.lang <> 'und'")
-    return found.withColumn(lang, F.col("_language.lang")).select(*[f"`{c}`" for c in docs.columns])
+    free = "_language" + "_" * max(map(len, docs.columns))  # no column of the input has this name
+    found = identify(docs, model, text, free).where(F.col(free)["lang"] != "und")
+    return found.withColumn(lang, F.col(free)["lang"]).select(*[f"`{c}`" for c in docs.columns])
