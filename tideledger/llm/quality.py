@@ -2,7 +2,9 @@
 
 One pass turns every document into a row of statistics, written to the shared folder.  The
 trees are fitted on at most about `rows` labelled rows (documented bound), picked by a hash of
-the id; what reaches the driver are their statistics.  Scoring reads the written rows.
+the id; what reaches the driver are their statistics.  Scoring reads the written rows.  An id
+with several texts is learned with the one of the least statistics, an id with both labels
+with each of them.
 
 Defined results: null and empty texts have statistics too and get a score; with no labelled
 row of one of the classes every score is the share of label 1, or 0.5; a label row that
@@ -20,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideledger.llm import forest
+from tideledger.llm.language import last_hash
 from tideledger.llm.shared import Workspace, bare, small_batches
 from tideledger.llm.statistics import NAMES, statistics
 from tideledger.llm.words import pieces
@@ -42,8 +45,7 @@ def described(docs: DataFrame, key: str, text: str) -> DataFrame:
 def sampled(labels: DataFrame, key: str, label: str, rows: int) -> DataFrame:
     """About `rows` labelled ids (doc, y), picked by a hash."""
     own = bare(labels, key, label).where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), (F.col(label) > 0).cast("int").alias("y"))
-    share = min(1.0, rows / max(1, own.count()))
-    return own.where(F.pmod(F.xxhash64("doc", F.lit(17)), F.lit(1_000_000)) < int(share * 1_000_000)).limit(2 * rows)
+    return own.where(F.xxhash64("doc", F.lit(17)) <= last_hash(max(1, own.count()), rows)).limit(2 * rows)
 
 
 def matrix(rows: list, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -57,7 +59,9 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     spark = docs.sparkSession
     small_batches(spark)
     features = Workspace(spark, "quality").keep(described(bare(docs, key, text), key, text), "features")
-    sample = features.join(sampled(labels, key, label, rows), "doc").select("doc", "features", "y").collect()
+    # A label belongs to one text of its id, however many rows the id has; label rows count each.
+    one = features.join(sampled(labels, key, label, rows).groupBy("doc", "y").agg(F.count("*").alias("times")), "doc").groupBy("doc", "y", "times").agg(F.min("features").alias("features"))
+    sample = one.select("doc", "features", "y", F.explode(F.expr("array_repeat(0, cast(times as int))"))).collect()
     x, y = matrix(sample, len(NAMES))
     model = spark.sparkContext.broadcast(forest.fit(x, y))
 

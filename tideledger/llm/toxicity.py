@@ -210,7 +210,8 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     work = Workspace(spark, "toxicity")
     own = bare(docs, key, text).select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     picked = work.keep(sampled(labels, key, label, rows), "sample")
-    texts = work.keep(own.join(F.broadcast(picked), "doc"), "labelled")  # at most 2 * rows ids
+    # One text of each labelled id, however many rows the id has: at most 2 * rows.
+    texts = work.keep(own.join(F.broadcast(picked.distinct()), "doc").groupBy("doc", "y").agg(F.min("text").alias("text")), "labelled")
     tally = {r["y"]: r["count"] for r in texts.groupBy("y").count().collect()}
     # Terms are counted in half of the sample: their strengths look no better to the trees than they are.
     half = F.pmod(F.xxhash64("doc", F.lit(23)), F.lit(2)) == 0
@@ -222,7 +223,7 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                 raw = [x.tobytes() for x in features(piece, lexicon.value).astype(np.float32)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.first, piece.rows), pa.array(raw, pa.binary())], ["doc", "features"])
 
-    sample = texts.select("doc", "text").mapInArrow(describe, "doc long, features binary").join(picked.distinct(), "doc").collect()
+    sample = texts.groupBy("doc").agg(F.min("text").alias("text")).mapInArrow(describe, "doc long, features binary").join(picked.distinct(), "doc").collect()
     x, y = matrix(sample, len(FEATURES))
     lot = np.random.default_rng(5).random(len(x))
     fitting = lot < 0.8
