@@ -318,6 +318,11 @@ def replay_eligibility(events: DataFrame, as_of: AsOf, coverage: Coverage, regis
         F.min(profile).alias("lowest_profile"),
         F.max(profile).alias("highest_profile"),
     )
+    return judged_accounts(facts, coverage, registry)
+
+
+def judged_accounts(facts: DataFrame, coverage: Coverage, registry: Registry) -> DataFrame:
+    """Eligibility from the facts of each account."""
     mixed = F.col("lowest_profile") != F.col("highest_profile")
     from_start = coverage.start_block <= registry.deployed_at_block
     basis = (

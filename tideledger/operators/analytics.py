@@ -136,7 +136,7 @@ def rank_flows(partial: DataFrame) -> DataFrame:
     )
 
 
-def _scaled(sums: DataFrame, registry: Registry) -> DataFrame:
+def scaled(sums: DataFrame, registry: Registry) -> DataFrame:
     """Apply market scales to grouped native sums."""
     cns = F.lit(registry.collateral_decimals)
     factor = dec(Q16) * pow10(F.lit(UNIT_DIGITS) - F.col("price_decimals") - F.col("size_decimals"))
@@ -167,14 +167,14 @@ def window_flows(events: DataFrame, registry: Registry, as_of: AsOf, windows: li
     cns = F.lit(registry.collateral_decimals)
     steps = F.explode(F.sequence(F.col("rank"), F.lit(last))).alias("window")
     market_rows = (
-        _scaled(registry.attach(per_rank.where("traded = 1")), registry)
+        scaled(registry.attach(per_rank.where("traded = 1")), registry)
         .select("perpetual_id", "symbol", "accounts", *FLOW_COLUMNS, steps)
         .groupBy("window", "perpetual_id", "symbol")
         .agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in FLOW_COLUMNS], F.sum("accounts").alias("active_accounts"))
     )
     money = ["deposits_u", "withdrawals_u"]
     known = per_rank.join(listed, "perpetual_id", "left")
-    priced = _scaled(known.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in ("price_decimals", "size_decimals")}), registry)
+    priced = scaled(known.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in ("price_decimals", "size_decimals")}), registry)
     in_registry = F.col("symbol").isNotNull()
     small = (
         priced.select(
@@ -321,7 +321,7 @@ def protocol_metrics(
     priced = registry.attach(grouped.where("perpetual_id is not null"))
     full = priced.withColumns({"deposits_cns": dec(0), "withdrawals_cns": dec(0)})
     return (
-        _scaled(full, registry)
+        scaled(full, registry)
         .withColumn("zero_volume_warning", F.col("taker_volume_u") == 0)
         .select(
             "perpetual_id", "symbol", "taker_volume_u", "open_interest_u", "tvl_u", "protocol_fees_u",

@@ -148,17 +148,7 @@ def funding_timeline(events: DataFrame, as_of: AsOf) -> DataFrame:
 
 def funding_schedule(events: DataFrame, registry: Registry, as_of: AsOf, scope: FundingScope) -> DataFrame:
     """Surviving payments in units per lot with running totals per market."""
-    markets = registry.listed(events.sparkSession).where(F.col("perpetual_id").isin(list(scope.market_ids)))
-    rows = survivors(events, as_of).join(markets, "perpetual_id")
-    digits = F.col("scale_exp") + F.col("price_decimals") + F.col("size_decimals")
-    unknown = (F.col("payment_pns") != 0) & F.col("scale_exp").isNull()
-    per_lot = F.when(F.col("payment_pns") == 0, dec(0)).when(
-        F.col("scale_exp").isNotNull(), F.col("payment_pns") * dec(Q16) * pow10(F.lit(UNIT_DIGITS) - digits)
-    )
-    priced = rows.select(
-        "perpetual_id", "effective_block", "event_id", F.col("block_number").alias("published_block"),
-        "payment_pns", "scale_exp", "scale_event_id", per_lot.alias("per_lot_u"), unknown.alias("unit_unknown"),
-    )
+    priced = priced_payments(survivors(events, as_of), registry, scope)
     upto = Window.partitionBy("perpetual_id").orderBy("effective_block").rowsBetween(Window.unboundedPreceding, 0)
     return priced.withColumns(
         {
@@ -169,6 +159,21 @@ def funding_schedule(events: DataFrame, registry: Registry, as_of: AsOf, scope:
     )
 
 
+def priced_payments(payments: DataFrame, registry: Registry, scope: FundingScope) -> DataFrame:
+    """Surviving payments of the scope's markets in units per lot."""
+    markets = registry.listed(payments.sparkSession).where(F.col("perpetual_id").isin(list(scope.market_ids)))
+    rows = payments.join(markets, "perpetual_id")
+    digits = F.col("scale_exp") + F.col("price_decimals") + F.col("size_decimals")
+    unknown = (F.col("payment_pns") != 0) & F.col("scale_exp").isNull()
+    per_lot = F.when(F.col("payment_pns") == 0, dec(0)).when(
+        F.col("scale_exp").isNotNull(), F.col("payment_pns") * dec(Q16) * pow10(F.lit(UNIT_DIGITS) - digits)
+    )
+    return rows.select(
+        "perpetual_id", "effective_block", "event_id", F.col("block_number").alias("published_block"),
+        "payment_pns", "scale_exp", "scale_event_id", per_lot.alias("per_lot_u"), unknown.alias("unit_unknown"),
+    )
+
+
 def baselines(schedule: DataFrame) -> DataFrame:
     """Lowest effective block of each market and the event that published it."""
     return schedule.groupBy("perpetual_id").agg(
@@ -274,6 +279,11 @@ def unsettled_funding(history: DataFrame, registry: Registry, scope: FundingScop
             "span",
         ).alias("s")
     )
+    return span_view(last, registry, scope)
+
+
+def span_view(last: DataFrame, registry: Registry, scope: FundingScope, keep: list[str] | None = None) -> DataFrame:
+    """Unsettled funding from what is known of each position's last span (struct `s`)."""
     from_deployment = scope.start_block <= registry.deployed_at_block
     in_scope = F.col("perpetual_id").isin(list(scope.market_ids))
     reset_block = F.col("s.reset.block_number")
@@ -293,6 +303,7 @@ def unsettled_funding(history: DataFrame, registry: Registry, scope: FundingScop
     )
     return last.select(
         *POSITION,
+        *(keep or []),
         value.alias("unsettled_u"),
         reason.alias("funding_reason"),
         F.col("s.reset.event_id").alias("reset_event_id"),
