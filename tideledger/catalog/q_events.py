@@ -191,6 +191,43 @@ def historical_scope(spark, sf):
     return scans.scope_facts(window, b.PREVIOUS.block_number + 1, BLOCK, kind_is("account_created"))
 
 
+WINDOW = (b.PREVIOUS.block_number + 1, BLOCK)
+PINNED_FAULTS = "CASE WHEN eid % 997 = 0 THEN 'chain' WHEN eid % 991 = 0 THEN 'contract' WHEN eid % 983 = 0 THEN 'early' END"
+
+
+def pinned_rows(spark, sf):
+    """The whole book with a wrong chain, a wrong contract or a time before the window on some rows."""
+    eid = F.regexp_extract("tx_hash", r"^0xt(\d+)$", 1).try_cast("long")
+    rows = b.book(spark, sf).withColumn("eid", eid)
+    fault = F.when(F.expr("eid % 997 = 0"), "chain").when(F.expr("eid % 991 = 0"), "contract").when(F.expr("eid % 983 = 0"), "early")
+    rows = rows.withColumn("fault", F.coalesce(fault, F.lit("")))
+    return rows.withColumns(
+        {
+            "chain_id": F.when(F.col("fault") == "chain", F.lit(1).cast("long")).otherwise(F.col("chain_id")),
+            "contract_address": F.when(F.col("fault") == "contract", F.lit("0x0")).otherwise(F.col("contract_address")),
+            "timestamp_ms": F.when(F.col("fault") == "early", F.lit(5).cast("long")).otherwise(F.col("timestamp_ms")),
+        }
+    ).drop("eid", "fault")
+
+
+@query(
+    "F17_pinned_checks",
+    q.with_book("pin AS (SELECT *, CASE WHEN tx_hash LIKE '0xt%' THEN CAST(substr(tx_hash,4) AS BIGINT) END AS eid FROM book)", f"flt AS (SELECT *, {PINNED_FAULTS} AS fault FROM pin)")
+    + f"""SELECT 'outside_blocks' AS violation, count(*) AS events FROM flt WHERE block_number < {WINDOW[0]} OR block_number > {WINDOW[1]} HAVING count(*)>0
+UNION ALL SELECT 'outside_times', count(*) FROM flt WHERE fault='early' OR timestamp_ms < {b.PREVIOUS.timestamp_ms + 1} OR timestamp_ms > {b.CUT.timestamp_ms} HAVING count(*)>0
+UNION ALL SELECT 'chain_differs', count(*) FROM flt WHERE fault='chain' HAVING count(*)>0
+UNION ALL SELECT 'contract_differs', count(*) FROM flt WHERE fault='contract' HAVING count(*)>0
+UNION ALL SELECT 'count_differs', count(*) FROM flt
+UNION ALL SELECT 'anchor_absent', count(*) FROM flt""",
+)
+def pinned_checks(spark, sf):
+    """Every row of the book against a pinned window that begins late, ends early and has another count and anchor."""
+    first = scans.Header(WINDOW[0], "0xnone", b.PREVIOUS.timestamp_ms + 1)
+    last = scans.Header(WINDOW[1], "0xnone", b.CUT.timestamp_ms)
+    pin = scans.PinnedWindow(b.CHAIN, b.EXCHANGE, first, last, 7, "0xmissing")
+    return scans.pinned_violations(pinned_rows(spark, sf), pin)
+
+
 @query(
     "F18_recent_window",
     q.with_book() + f"SELECT kind, count(*) AS events, min(block_number) AS first_block FROM book WHERE block_number>=greatest({BLOCK}-50000+1,{b.DEPLOYED}) AND block_number<={BLOCK} GROUP BY 1",
@@ -358,7 +395,7 @@ def adjacent_duplicate(spark, sf):
 
 
 def _tree_sql(levels: int) -> str:
-    text = "l0 AS (SELECT block_number AS node, count(*) AS n, 'sha256:'||sha256(string_agg(event_id, ',' ORDER BY log_index, event_id)) AS h FROM book WHERE block_number<=%d GROUP BY 1)" % BLOCK
+    text = f"l0 AS (SELECT {SEQ}>>10 AS node, count(*) AS n, 'sha256:'||sha256(string_agg(event_id, ',' ORDER BY {SEQ}, event_id)) AS h FROM book WHERE block_number<={BLOCK} GROUP BY 1)"
     for i in range(levels):
         text += f", l{i + 1} AS (SELECT node>>10 AS node, sum(n) AS n, 'sha256:'||sha256(string_agg(h, ',' ORDER BY node)) AS h FROM l{i} GROUP BY 1)"
     return text
@@ -366,7 +403,7 @@ def _tree_sql(levels: int) -> str:
 
 @query(
     "E1_range_manifest",
-    q.with_book(_tree_sql(4)) + f"SELECT CAST(n AS BIGINT) AS event_count, h AS ordered_ids_tree_hash, (SELECT arg_min(event_id,{SEQ}) FROM book) AS first_event_id, (SELECT arg_max(event_id,{SEQ}) FROM book WHERE block_number<={BLOCK}) AS last_event_id FROM l4",
+    q.with_book(_tree_sql(5)) + f"SELECT CAST(n AS BIGINT) AS event_count, h AS ordered_ids_tree_hash, (SELECT arg_min(event_id,{SEQ}) FROM book) AS first_event_id, (SELECT arg_max(event_id,{SEQ}) FROM book WHERE block_number<={BLOCK}) AS last_event_id FROM l5",
 )
 def range_manifest(spark, sf):
     return evidence.range_manifest(b.book(spark, sf), b.CUT)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tideledger.catalog import binding as b
@@ -23,6 +25,8 @@ from tideledger.operators import accounting, analytics, checks, evidence, fundin
 from tideledger.operators.ledger import POSITION, kind_is
 from tideledger.params import Coverage
 from tideledger.plans import snapshot
+from tideledger.session import checkpoint_folder
+from tideledger.sources import publication
 
 CUT, BLOCK = b.CUT, b.CUT.block_number
 P = "account_id, CAST(perpetual_id AS BIGINT) AS perpetual_id"
@@ -582,6 +586,37 @@ def historical_snapshot(spark, sf):
     )
 
 
+STATE_TEXT = ["account_id", "perpetual_id", "status", "lot_lns", "deposit_cns"]
+
+
+def _level_sql(name: str, source: str, key: str) -> str:
+    return f"{name} AS (SELECT {key} AS up, sum(n) AS n, sha256(string_agg(h, ',' ORDER BY h)) AS h FROM {source} GROUP BY 1)"
+
+
+@query(
+    "E7_checkpoint_hashes",
+    q.with_book(
+        LEDGER, "tx AS (SELECT sha256(account_id||'|'||perpetual_id||'|'||status||'|'||CAST(lot AS BIGINT)||'|'||CAST(dep AS BIGINT)) AS h0, count(*) AS n FROM st GROUP BY 1)",
+        "t0 AS (SELECT sha256(h0||':'||n) AS h, n FROM tx)", _level_sql("t1", "t0", "substr(h,1,9)"), _level_sql("t2", "t1", "substr(up,1,6)"),
+        _level_sql("t3", "t2", "substr(up,1,3)"), _level_sql("t4", "t3", "''"),
+    ) + "SELECT CAST(n AS BIGINT) AS rows, 'sha256:'||h AS hash FROM t4",
+)
+def checkpoint_hashes(spark, sf):
+    """The hash of all position states, as a manifest holds it."""
+    return evidence.checkpoint_hash(ledger.position_state(b.book(spark, sf), CUT), STATE_TEXT)
+
+
+@query("S12_publish_tables", q.with_book(LEDGER) + f"SELECT {P}, status, {big('lot', 'lot_lns')} FROM st")
+def publish_tables(spark, sf):
+    """Position states published as a table and loaded again by its commit."""
+    root = f"{checkpoint_folder(spark)}/published-{uuid.uuid4().hex}"
+    state = ledger.position_state(b.book(spark, sf), CUT).select(*POSITION, "status", "lot_lns")
+    facts = dict(as_of_block=CUT.block_number, as_of_log=None, as_of_block_hash=CUT.block_hash, processed_block=CUT.block_number, inputs_hash="book")
+    publication.publish_tables(spark, {"positions": state}, root, "main", **facts)
+    tables = publication.load_tables(spark, root, "main", 86_400)
+    return tables["positions"].select(*ident(), "status", *longs("lot_lns"))
+
+
 # ---- reconciliation -----------------------------------------------------
 
 @query(

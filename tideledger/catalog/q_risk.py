@@ -321,6 +321,20 @@ def wallet_pairs(spark, sf):
     return rows.select("book_a", "book_b", *longs("shared_markets", "union_markets", "wallet_pairs"))
 
 
+@query(
+    "J8_watchlist_overlap",
+    q.with_book(*PLAIN, ELIGIBLE_SQL, HELD_SQL) + """, wl AS (SELECT * FROM hz WHERE account_id%20=0),
+wp AS (SELECT w.account_id AS a, o.account_id AS b, w.n AS na, o.n AS nb, (SELECT count(*) FROM hp x JOIN hp y ON x.perpetual_id=y.perpetual_id WHERE x.account_id=w.account_id AND y.account_id=o.account_id) AS shared,
+  (SELECT count(*) FROM hp x JOIN hp y ON x.perpetual_id=y.perpetual_id AND x.side=y.side WHERE x.account_id=w.account_id AND y.account_id=o.account_id) AS same FROM wl w JOIN hz o ON o.account_id<>w.account_id)
+SELECT a AS account_a, b AS account_b, shared AS shared_markets, na+nb-shared AS union_markets, same AS same_side_markets, shared-same AS opposing_markets, CAST(shared*1000000//(na+nb-shared) AS BIGINT) AS jaccard_ppm FROM wp""",
+)
+def watchlist_overlap(spark, sf):
+    """Every twentieth account as a watchlist against all wallets."""
+    masks = cohort.exposure_masks(held(spark, sf), b.REGISTRY)
+    rows = cohort.watchlist_overlap(masks, masks.where("account_id % 20 = 0"))
+    return rows.select("account_a", "account_b", *longs("shared_markets", "union_markets", "same_side_markets", "opposing_markets", "jaccard_ppm"))
+
+
 @query(
     "U3_market_union",
     q.with_book(*PLAIN, q.ledger(PREV, "_p"), eligible_sql(CUT, ""), eligible_sql(PREV, "_p"))

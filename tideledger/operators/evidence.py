@@ -16,27 +16,27 @@ EXACT_IDS = 100_000  # the largest id list hashed as one JSON array
 TREE_BITS = 10
 
 
-def ids_hash_exact(events: DataFrame, as_of: AsOf) -> DataFrame:
-    """SHA-256 of the JSON array of ordered ids, for at most EXACT_IDS events.
+def ids_hash_exact(events: DataFrame, as_of: AsOf, limit: int | None = EXACT_IDS) -> DataFrame:
+    """SHA-256 of the JSON array of ordered ids, which one task builds; `ids_hash_tree` has no such array.
 
-    The list is only built after the count has been checked.
+    With a limit the list is only built after the count has been checked.
     """
     kept = with_event_id(events.where(as_of.includes()))
-    if kept.limit(EXACT_IDS + 1).count() > EXACT_IDS:
-        raise DataQualityError(f"a single-array hash covers at most {EXACT_IDS} ids; use ids_hash_tree")
+    if limit is not None and kept.limit(limit + 1).count() > limit:
+        raise DataQualityError(f"a single-array hash covers at most {limit} ids; use ids_hash_tree")
     ordered = F.array_sort(F.collect_list(F.struct("block_number", "log_index", "tx_hash", "event_id")))
     return kept.agg(digest_json(F.transform(ordered, lambda x: x["event_id"])).alias("ordered_ids_hash"))
 
 
-def ids_hash_tree(events: DataFrame, as_of: AsOf, levels: int = 4) -> DataFrame:
+def ids_hash_tree(events: DataFrame, as_of: AsOf, levels: int = 5) -> DataFrame:
     """Order-sensitive hash of any number of ids.
 
-    Leaves hash the ids of one block; each level above hashes at most 1024
-    children, so no group grows with the data beyond one block's logs.
+    A leaf holds the ids of 1024 consecutive places (block and log), a node 1024 leaves, and so
+    on, so no group grows with the data or with the logs of a block.
     """
-    kept = with_event_id(events.where(as_of.includes()))
-    rows = kept.groupBy(F.col("block_number").alias("node")).agg(
-        F.array_sort(F.collect_list(F.struct("log_index", "event_id"))).alias("x"), F.count(F.lit(1)).alias("n")
+    kept = with_event_id(events.where(as_of.includes())).select(sequence().alias("place"), "event_id")
+    rows = kept.groupBy(F.shiftright("place", TREE_BITS).alias("node")).agg(
+        F.array_sort(F.collect_list(F.struct("place", "event_id"))).alias("x"), F.count(F.lit(1)).alias("n")
     )
     level = rows.select("node", "n", digest_text(F.array_join(F.transform("x", lambda i: i["event_id"]), ",")).alias("h"))
     for _ in range(levels):
@@ -351,14 +351,29 @@ def coverage_state(rows: DataFrame) -> DataFrame:
     )
 
 
-def checkpoint_hash(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """One digest of a bounded table (marks, registry, checkpoints of a watchlist).
+#: Hex digits by which the levels of a table's hash group rows: 4096 children a node at most.
+PREFIXES = (9, 6, 3, 0)
 
-    The row count is checked before the rows are put in one group.
-    """
-    if rows.limit(EXACT_IDS + 1).count() > EXACT_IDS:
-        raise DataQualityError(f"a checkpoint hash covers at most {EXACT_IDS} rows")
-    ordered = F.array_sort(F.collect_list(F.struct(*columns)))
-    return rows.agg(F.count(F.lit(1)).alias("rows"), digest_json(ordered).alias("hash"))
 
+def checkpoint_hash(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(rows, hash) of a table of any size, the same for every order and partitioning of its rows.
 
+    Equal rows count once with their number; rows meet by the first digits of their own hash.
+    """
+    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in columns])
+    level = rows.groupBy(F.sha2(text, 256).alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    level = level.select(F.sha2(F.concat_ws(":", "h", "n"), 256).alias("h"), "n")
+    for digits in PREFIXES:
+        level = level.groupBy(F.substring("h", 1, digits).alias("up") if digits == PREFIXES[0] else F.substring("up", 1, digits).alias("up")).agg(
+            F.array_sort(F.collect_list("h")).alias("x"), F.sum("n").alias("n")
+        ).select("up", F.sha2(F.array_join("x", ","), 256).alias("h"), "n")
+    return level.select(F.col("n").alias("rows"), F.concat(F.lit("sha256:"), "h").alias("hash"))
+
+
+def checkpoint_hashes(tables: dict[str, DataFrame]) -> DataFrame:
+    """One row (name, rows, hash) per table; an empty table has none."""
+    parts = [checkpoint_hash(t, sorted(t.columns)).select(F.lit(name).alias("name"), "rows", "hash") for name, t in tables.items()]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole

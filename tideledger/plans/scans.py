@@ -6,6 +6,7 @@ bounds reach the Parquet scan of the event table.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -146,6 +147,66 @@ def require_scope(facts: DataFrame, events: int) -> None:
         raise DataQualityError(f"pinned window does not match its evidence: {row.asDict()}")
 
 
+@dataclass(frozen=True)
+class Header:
+    """An independently read block header."""
+
+    block_number: int
+    block_hash: str
+    timestamp_ms: int
+
+
+@dataclass(frozen=True)
+class PinnedWindow:
+    """What a pinned window must be: its two boundary headers, its number of events, its last event."""
+
+    chain_id: int
+    contract_address: str
+    first: Header
+    last: Header
+    events: int
+    anchor_event_id: str
+
+    def __post_init__(self):
+        if self.first.block_number > self.last.block_number or self.first.timestamp_ms > self.last.timestamp_ms or self.events < 1:
+            raise DataQualityError("a pinned window runs forward and holds events")
+
+
+def pinned_violations(events: DataFrame, pin: PinnedWindow) -> DataFrame:
+    """(violation, events) of an unfiltered window, in one pass; an empty table means that it holds.
+
+    A row may break several rules.  The count and the anchor are rules of the whole window.
+    """
+    block, time = F.col("block_number"), F.col("timestamp_ms")
+
+    def differs(header: Header):
+        return (block == header.block_number) & ((F.col("block_hash") != header.block_hash) | (time != header.timestamp_ms))
+
+    rules = {
+        "outside_blocks": (block < pin.first.block_number) | (block > pin.last.block_number),
+        "outside_times": (time < pin.first.timestamp_ms) | (time > pin.last.timestamp_ms),
+        "chain_differs": F.col("chain_id") != pin.chain_id,
+        "contract_differs": F.lower("contract_address") != pin.contract_address.lower(),
+        "first_header_differs": differs(pin.first),
+        "last_header_differs": differs(pin.last),
+    }
+    facts = with_event_id(events).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.coalesce(F.bool_or((F.col("event_id") == pin.anchor_event_id) & (block <= pin.last.block_number)), F.lit(False)).alias("anchored"),
+        *[F.count(F.when(F.coalesce(rule, F.lit(True)), F.lit(1))).alias(name) for name, rule in rules.items()],
+    )
+    found = [F.struct(F.lit(name).alias("violation"), F.col(name).alias("events")) for name in rules]
+    found.append(F.struct(F.lit("count_differs").alias("violation"), F.when(F.col("n") != pin.events, F.greatest("n", F.lit(1))).otherwise(0).alias("events")))
+    found.append(F.struct(F.lit("anchor_absent").alias("violation"), F.when(~F.col("anchored"), F.greatest("n", F.lit(1))).otherwise(0).alias("events")))
+    return facts.select(F.explode(F.array(*found)).alias("v")).select("v.*").where("events > 0")
+
+
+def require_pinned(events: DataFrame, pin: PinnedWindow) -> DataFrame:
+    """The window, if it is the pinned one."""
+    require_clean(pinned_violations(events, pin), "window is not the pinned one")
+    return events
+
+
 def recent_start(deployed: int, head: int, blocks: int) -> int:
     """First block of an inclusive recent window, not before deployment."""
     if blocks < 1 or deployed < 0 or head < deployed:

@@ -35,6 +35,32 @@ def historical(
     return flows.unionByName(held.select(F.lit("position").alias("part"), "perpetual_id", "amount_u", "n"))
 
 
+def pinned_history(
+    window: DataFrame, pin: scans.PinnedWindow, events: DataFrame, registry: Registry, proofs: DataFrame, coverage: Coverage,
+    scope: FundingScope | None = None,
+) -> dict[str, DataFrame]:
+    """Tables of a pinned window, whose preconditions hold before it is read and still hold after.
+
+    Preconditions: boundary headers, count and anchor of the window, and a proof of every market
+    that it names (`proofs`: perpetual_id and its registered fields).  `events` are the history
+    behind the window, from which positions are replayed.
+    """
+    as_of = AsOf(pin.chain_id, pin.last.block_number, pin.last.block_hash, pin.last.timestamp_ms)
+    scans.require_pinned(window, pin)
+    require_clean(evidence.unproven_markets(window, proofs, as_of), "market without a proof")
+    require_clean(evidence.proof_mismatches(registry.frame(window.sparkSession), proofs), "market proof differs")
+    positions = accounting.position_risk(events, registry, as_of, scope)
+    eligible = accounting.replay_eligibility(events, as_of, coverage, registry)
+    seen = visible_events(window, eligible.where("eligible"), as_of)
+    tables = {
+        "history": historical(window, events, positions, eligible, registry, as_of),
+        "events": scans.event_view(seen),
+        "manifest": evidence.range_manifest(window, as_of),
+    }
+    scans.require_pinned(window, pin)
+    return tables
+
+
 def visible_events(events: DataFrame, accounts: DataFrame, as_of: AsOf) -> DataFrame:
     """Events of a watchlist plus market inputs and liquidations, without repeats."""
     kept = with_event_id(events.where(as_of.includes()))
@@ -109,6 +135,7 @@ def build_snapshot(
         "percentiles": cohort.midrank_percentiles(cohort.statistic_rows(stats)),
         "overlap": cohort.overlap_profile(cohort.exposures(positions, eligible)),
         "excluded": cohort.excluded_wallets(eligible),
+        "checkpoint": evidence.checkpoint_hashes({"marks": marks, "registry": registry.frame(events.sparkSession), "positions": positions.select(*ledger.POSITION, "status", "lot_lns", "deposit_cns")}),
     }
     if states is not None:
         tables["state_markets"] = states

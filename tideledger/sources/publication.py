@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from tideledger.errors import DataQualityError
 from tideledger.functions.keys import digest_text
+from tideledger.operators.evidence import checkpoint_hash
+from tideledger.streaming.store import Commit, Store
 
 MAX_BYTES = 1_000_000
 SNAPSHOT_SCHEMA = (
@@ -26,7 +28,9 @@ FACTS = ["as_of_block_hash", "inputs_hash"]
 def _versions(spark: SparkSession, path: str, source: str) -> DataFrame:
     try:
         rows = spark.read.schema(SNAPSHOT_SCHEMA).parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":  # only a missing folder is a fresh start
+            raise
         rows = spark.createDataFrame([], SNAPSHOT_SCHEMA)
     return rows.where(F.col("source") == source)
 
@@ -82,6 +86,67 @@ def publish_snapshot(
     return version
 
 
+def _advances(last: dict | None, facts: dict) -> bool:
+    """Whether a cutoff follows the last one, or repeats it with the same facts."""
+    if last is None:
+        return True
+    top = 2**32 - 1
+    mine, theirs = ((x["as_of_block"], top if x["as_of_log"] is None else x["as_of_log"]) for x in (facts, last))
+    same = all(last[c] == facts[c] for c in FACTS)
+    return theirs <= mine and last["processed_block"] <= facts["processed_block"] and (theirs != mine or same)
+
+
+def publish_tables(
+    spark: SparkSession, tables: dict[str, DataFrame], root: str, source: str, *, as_of_block: int, as_of_log: int | None,
+    as_of_block_hash: str, processed_block: int, inputs_hash: str, observed_at_ms: int | None = None,
+) -> int:
+    """Publishes tables of any size as the next version of a source.
+
+    The tables are written first; the commit file of the version is then created without
+    overwriting.  Of two writers that read the same last version one wins and the other raises.
+    """
+    if not 1 <= len(source.encode()) <= 64 or "/" in source:
+        raise DataQualityError("publication source must be 1..64 bytes without a slash")
+    store = Store(spark, f"{root}/{source}")
+    last = store.last()
+    facts = dict(as_of_block=as_of_block, as_of_log=as_of_log, as_of_block_hash=as_of_block_hash, processed_block=processed_block, inputs_hash=inputs_hash)
+    if not _advances(None if last is None else last.facts, facts):
+        raise DataQualityError("publication regresses or contradicts the same cutoff")
+    version = 0 if last is None else last.version + 1
+    token = store.token(version)
+    folders, hashes = {}, {}
+    for name, table in tables.items():
+        folders[name] = store.write(None, token, name, table, F.lit("all"))
+        written = store.read(Commit(version, {name: folders[name]}), name)
+        told = None if written is None else checkpoint_hash(written, sorted(table.columns)).first()
+        hashes[name] = None if told is None else told.hash
+    now = int(time.time() * 1000) if observed_at_ms is None else observed_at_ms
+    store.commit(Commit(version, folders, {**facts, "observed_at_ms": now, "hashes": hashes}))
+    return version
+
+
+def load_tables(spark: SparkSession, root: str, source: str, max_age_s: int, now_ms: int | None = None) -> dict[str, DataFrame]:
+    """Tables of the newest version, if it is fresh and they are what was published."""
+    if not 1 <= max_age_s <= 86_400:
+        raise DataQualityError("snapshot age must be 1..86400 seconds")
+    store = Store(spark, f"{root}/{source}")
+    last = store.last()
+    if last is None:
+        raise DataQualityError("snapshot is missing")
+    age = (int(time.time() * 1000) if now_ms is None else now_ms) - last.facts["observed_at_ms"]
+    if not 0 <= age <= max_age_s * 1000:
+        raise DataQualityError("snapshot is stale")
+    tables = {}
+    for name in last.tables:
+        rows = store.read(last, name)
+        if rows is None:
+            continue
+        tables[name] = rows.drop("bucket")
+        if checkpoint_hash(tables[name], sorted(tables[name].columns)).first().hash != last.facts["hashes"][name]:
+            raise DataQualityError("snapshot content does not match its hash")
+    return tables
+
+
 def load_snapshot(spark: SparkSession, path: str, source: str, max_age_s: int, now_ms: int | None = None):
     """The newest snapshot, if fresh and unchanged since it was written."""
     if not 1 <= max_age_s <= 86_400:
