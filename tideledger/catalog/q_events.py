@@ -28,13 +28,19 @@ def scan_ordered(spark, sf):
 
 @query(
     "S7_event_by_id",
-    q.with_book() + f"SELECT event_id, block_number, CAST(log_index AS BIGINT) AS log_index, true AS unchanged FROM book WHERE block_number<={BLOCK} ORDER BY block_number DESC, log_index DESC LIMIT 1",
+    q.with_book(f"top AS (SELECT * FROM book WHERE block_number<={BLOCK} ORDER BY block_number DESC, log_index DESC LIMIT 1)")
+    + "SELECT 'kept' AS point, event_id, block_number, true AS unchanged FROM top UNION ALL SELECT 'moved', event_id, block_number, false FROM top UNION ALL SELECT 'gone', event_id||'-gone', CAST(NULL AS BIGINT), false FROM top",
 )
 def event_by_id(spark, sf):
+    """Three remembered points: one still there, one with another time, one that is no longer there."""
     events = b.book(spark, sf)
-    return scans.verify_point(events, ledger.latest_event(events, b.CUT)).select(
-        "event_id", "block_number", *longs("log_index"), "unchanged"
-    )
+    point = ledger.latest_event(events, b.CUT)
+    points = {
+        "kept": point, "moved": point.withColumn("timestamp_ms", F.col("timestamp_ms") + 1),
+        "gone": point.withColumn("event_id", F.concat("event_id", F.lit("-gone"))),
+    }
+    parts = [scans.verify_point(events, p).select(F.lit(n).alias("point"), "event_id", "block_number", F.coalesce("unchanged", F.lit(False)).alias("unchanged")) for n, p in points.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query(
@@ -117,14 +123,49 @@ def require_listed(spark, sf):
     return rows.groupBy(F.col("perpetual_id").cast("long").alias("perpetual_id"), "kind").agg(F.count(F.lit(1)).alias("events"))
 
 
+#: The tape and, of some of its rows, a copy with one fault each.
+FAULTS = ["same", "place", "hash", "chain", "contract", "early", "late"]
+FAULTY = f"""line AS (SELECT *, log_index//10 AS part FROM tape),
+faulty AS (SELECT block_number, log_index, event_id, block_hash, 'none' AS fault FROM line
+  UNION ALL SELECT block_number, log_index, event_id, block_hash, 'same' FROM line WHERE part%101=0
+  UNION ALL SELECT block_number, log_index, '{b.CHAIN}:'||block_hash||':'||tx_hash||'x:'||log_index, block_hash, 'place' FROM line WHERE part%103=0
+  UNION ALL SELECT block_number, log_index+5000000, '{b.CHAIN}:0xfork:'||tx_hash||':'||(log_index+5000000), '0xfork', 'hash' FROM line WHERE part%107=0
+  UNION ALL SELECT block_number, log_index+6000000, '1:'||block_hash||':'||tx_hash||':'||(log_index+6000000), block_hash, 'chain' FROM line WHERE part%109=0
+  UNION ALL SELECT block_number, log_index+7000000, '{b.CHAIN}:'||block_hash||':'||tx_hash||':'||(log_index+7000000), block_hash, 'contract' FROM line WHERE part%113=0
+  UNION ALL SELECT {b.DEPLOYED - 1}, log_index, '{b.CHAIN}:0xb{b.DEPLOYED - 1}:'||tx_hash||'e:'||log_index, '0xb{b.DEPLOYED - 1}', 'early' FROM line WHERE part%127=0 AND log_index%10=1
+  UNION ALL SELECT block_number, log_index+8000000, '{b.CHAIN}:'||block_hash||':'||tx_hash||':'||(log_index+8000000), block_hash, 'late' FROM line WHERE part%131=0)"""
+
+
+def faulty_tape(spark, sf):
+    rows = b.tape(spark, sf)
+    part, log = F.expr("log_index div 10"), F.col("log_index")
+    cases = [
+        (part % 101 == 0, {}),
+        (part % 103 == 0, {"tx_hash": F.concat("tx_hash", F.lit("x"))}),
+        (part % 107 == 0, {"block_hash": F.lit("0xfork"), "log_index": log + 5_000_000}),
+        (part % 109 == 0, {"chain_id": F.lit(1).cast("long"), "log_index": log + 6_000_000}),
+        (part % 113 == 0, {"contract_address": F.lit("0xother"), "log_index": log + 7_000_000}),
+        ((part % 127 == 0) & (log % 10 == 1), {"block_number": F.lit(b.DEPLOYED - 1).cast("long"), "block_hash": F.lit(f"0xb{b.DEPLOYED - 1}"), "tx_hash": F.concat("tx_hash", F.lit("e")), "timestamp_ms": F.lit(b.TAPE_T0_MS).cast("long")}),
+        (part % 131 == 0, {"timestamp_ms": F.lit(b.TAPE_CUT.timestamp_ms + 1).cast("long"), "log_index": log + 8_000_000}),
+    ]
+    whole = rows
+    for chosen, change in cases:
+        copy = rows.where(chosen).withColumns({n: c.cast(rows.schema[n].dataType) for n, c in change.items()})
+        whole = whole.unionByName(copy.withColumn("event_id", event_key()))
+    return whole
+
+
 @query(
     "F9_ledger_guards",
-    q.with_tape() + f""", kept AS (SELECT * FROM tape WHERE block_number<={b.TAPE_CUT.block_number})
+    q.with_tape(FAULTY) + f""", kept AS (SELECT * FROM faulty WHERE block_number<={b.TAPE_CUT.block_number})
 SELECT 'repeated_position' AS violation, block_number||'/'||log_index AS subject FROM kept GROUP BY block_number, log_index HAVING count(*)>1
-UNION ALL SELECT 'duplicate_event', event_id FROM kept GROUP BY event_id HAVING count(*)>1""",
+UNION ALL SELECT 'duplicate_event', event_id FROM kept GROUP BY event_id HAVING count(*)>1
+UNION ALL SELECT 'mixed_block_hash', CAST(block_number AS VARCHAR) FROM kept GROUP BY block_number HAVING min(block_hash)<>max(block_hash)
+UNION ALL SELECT CASE fault WHEN 'chain' THEN 'chain_mismatch' WHEN 'contract' THEN 'wrong_contract' WHEN 'early' THEN 'before_deployment' ELSE 'after_cutoff_time' END, event_id FROM kept WHERE fault IN ('chain','contract','early','late')""",
 )
 def ledger_guards(spark, sf):
-    return checks.ledger_guards(b.tape(spark, sf), b.REGISTRY, b.TAPE_CUT)
+    """The whole tape with faults of every kind in it."""
+    return checks.ledger_guards(faulty_tape(spark, sf), b.REGISTRY, b.TAPE_CUT)
 
 
 @query(
@@ -339,12 +380,12 @@ def ratio6(spark, sf):
 
 @query(
     "M11_percent2",
-    q.with_book() + """, v AS (SELECT event_id, CAST(CAST(delta_pnl_cns AS HUGEINT)*1000000//nullif(price_pns,0) AS BIGINT) AS p FROM book WHERE kind='position_closed'),
+    q.with_book() + """, v AS (SELECT event_id, CAST(CAST(delta_pnl_cns AS HUGEINT)*1000000//nullif(price_pns,0) AS BIGINT) AS p FROM book WHERE delta_pnl_cns IS NOT NULL),
 w AS (SELECT event_id, p, abs(p)//100 AS h FROM v)
 SELECT event_id, CASE WHEN p<0 AND h>0 THEN '-' ELSE '' END || (h//100) || CASE WHEN h%100=0 THEN '' WHEN h%10=0 THEN '.'||((h%100)//10) ELSE '.'||lpad(CAST(h%100 AS VARCHAR),2,'0') END AS percent FROM w""",
 )
 def percent2(spark, sf):
-    rows = b.book(spark, sf).where(kind_is("position_closed"))
+    rows = b.book(spark, sf).where("delta_pnl_cns is not null")
     return rows.select("event_id", percent_text(ratio_ppm(F.col("delta_pnl_cns"), F.col("price_pns"))).alias("percent"))
 
 
@@ -387,10 +428,10 @@ def histogram(spark, sf):
 
 @query(
     "W11_adjacent_duplicate",
-    q.with_tape() + "SELECT block_number, CAST(log_index AS BIGINT) AS log_index, count(*)-1 AS repeats FROM tape GROUP BY 1,2 HAVING count(*)>1",
+    q.with_tape(FAULTY) + "SELECT block_number, CAST(log_index AS BIGINT) AS log_index, count(*)-1 AS repeats FROM faulty GROUP BY 1,2 HAVING count(*)>1",
 )
 def adjacent_duplicate(spark, sf):
-    rows = checks.adjacent_duplicates(b.tape(spark, sf))
+    rows = checks.adjacent_duplicates(faulty_tape(spark, sf))
     return rows.groupBy("block_number", F.col("log_index").cast("long").alias("log_index")).agg(F.count(F.lit(1)).alias("repeats"))
 
 

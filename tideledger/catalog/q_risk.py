@@ -154,25 +154,42 @@ def flow_x_open_interest(spark, sf):
     )
 
 
-STRESS_SQL = """shk AS (SELECT r.*, s AS shock_percent, (dep_u+COALESCE(uns,0))*100 + (mark*65536*(100+s)-eq16*100)*lot*sg*f AS eqh FROM risk r, (SELECT unnest([-20,-10,-5,5,10,20]) AS s) WHERE is_open AND mark IS NOT NULL)"""
+STRESS_SQL = """shk AS (SELECT r.*, s AS shock_percent, (dep_u+COALESCE(uns,0))*100 + (mark*65536*(100+s)-eq16*100)*lot*sg*f AS eqh FROM risk r JOIN elig e USING (account_id), (SELECT unnest([-20,-10,-5,5,10,20]) AS s) WHERE e.eligible AND is_open AND mark IS NOT NULL)"""
 
 
-@query("J7_position_x_shock", q.with_book(*q.FULL_RISK, STRESS_SQL) + f"SELECT {P}, CAST(shock_percent AS BIGINT) AS shock_percent, eqh<=maint_u*100 AS breached, CAST(eqh//{CNS_UNITS * 100} AS BIGINT) AS equity FROM shk")
+def stressed(spark, sf):
+    """Positions of the wallets that can be replayed."""
+    good = eligibility(spark, sf).where("eligible").select("account_id")
+    return positions(spark, sf).join(good, "account_id", "left_semi")
+
+
+@query("J7_position_x_shock", q.with_book(*q.FULL_RISK, ELIGIBLE_SQL, STRESS_SQL) + f"SELECT {P}, CAST(shock_percent AS BIGINT) AS shock_percent, eqh<=maint_u*100 AS breached, CAST(eqh//{CNS_UNITS * 100} AS BIGINT) AS equity FROM shk")
 def position_x_shock(spark, sf):
-    rows = signals.stress_positions(positions(spark, sf))
+    rows = signals.stress_positions(stressed(spark, sf))
     return rows.select(
         *ident(), *longs("shock_percent"), "breached", trunc_div(F.col("equity_hundredths_u"), CNS_UNITS * 100).cast("long").alias("equity")
     )
 
 
-@query("G11_stress_report", q.with_book(*q.FULL_RISK, STRESS_SQL) + f"SELECT CAST(shock_percent AS BIGINT) AS shock_percent, count(*) AS positions_evaluated, count(*) FILTER (WHERE eqh<=maint_u*100) AS breached, CAST(COALESCE(SUM(CASE WHEN eqh<=maint_u*100 THEN dep_u END),0)//{CNS_UNITS} AS BIGINT) AS breached_collateral, count(*) FILTER (WHERE eqh<=maint_u*100 AND uns IS NULL) AS conditional_breaches FROM shk GROUP BY 1")
+@query("G11_stress_report", q.with_book(*q.FULL_RISK, ELIGIBLE_SQL, STRESS_SQL) + f"SELECT CAST(shock_percent AS BIGINT) AS shock_percent, count(*) AS positions_evaluated, count(*) FILTER (WHERE eqh<=maint_u*100) AS breached, CAST(COALESCE(SUM(CASE WHEN eqh<=maint_u*100 THEN dep_u END),0)//{CNS_UNITS} AS BIGINT) AS breached_collateral, count(*) FILTER (WHERE eqh<=maint_u*100 AND uns IS NULL) AS conditional_breaches FROM shk GROUP BY 1")
 def stress_report(spark, sf):
-    rows = signals.stress_report(positions(spark, sf))
+    rows = signals.stress_report(stressed(spark, sf))
     return rows.select(
         *longs("shock_percent"), "positions_evaluated", "breached", cns("breached_collateral_u").alias("breached_collateral"), "conditional_breaches"
     )
 
 
+@query(
+    "G11_stress_excluded",
+    q.with_book(*q.FULL_RISK, ELIGIBLE_SQL)
+    + """SELECT account_id, CAST(NULL AS BIGINT) AS perpetual_id, 'incomplete-history' AS reason FROM elig WHERE NOT eligible
+UNION ALL SELECT r.account_id, CAST(r.perpetual_id AS BIGINT), 'mark-unavailable' FROM risk r JOIN elig e USING (account_id) WHERE e.eligible AND r.is_open AND r.mark IS NULL""",
+)
+def stress_excluded(spark, sf):
+    """Accounts and positions that the stress run leaves out."""
+    return signals.stress_excluded(positions(spark, sf), eligibility(spark, sf)).select(*ident(), "reason")
+
+
 CROWD_SQL = """cr AS (SELECT perpetual_id, symbol, COALESCE(SUM(CASE WHEN side=1 THEN not_u END),0) AS lo, COALESCE(SUM(CASE WHEN side<>1 THEN not_u END),0) AS sh, count(DISTINCT account_id) AS accounts FROM risk WHERE is_open AND not_u IS NOT NULL GROUP BY 1,2),
 cr2 AS (SELECT *, CASE WHEN lo>=sh THEN 'long' ELSE 'short' END AS side, CAST(greatest(lo,sh)*1000000//(lo+sh) AS BIGINT) AS share_ppm FROM cr WHERE accounts>=2)"""
 PLAIN = [q.ledger(), q.marks(), q.risk(funded=False)]
@@ -184,17 +201,30 @@ def crowding(spark, sf):
     return rows.select(*longs("perpetual_id"), "side", cns("long_u").alias("long_notional"), cns("short_u").alias("short_notional"), "accounts", "share_ppm")
 
 
-LONG_SIDE = "(SELECT * FROM risk WHERE side=1 OR perpetual_id=1)"
+def _crowded(scope: str, source: str) -> str:
+    parts = CROWD_SQL.replace("FROM risk", f"FROM {source}").replace("cr AS", f"cr_{scope} AS").replace("cr2 AS", f"cr2_{scope} AS").replace("FROM cr ", f"FROM cr_{scope} ")
+    return parts
+
+
+def _crowd_rows(scope: str) -> str:
+    return f"SELECT '{scope}' AS scope, CAST(perpetual_id AS BIGINT) AS perpetual_id, side, CASE WHEN share_ppm>=900000 THEN 'warning' ELSE 'watch' END AS severity, share_ppm AS metric_ppm FROM cr2_{scope} WHERE share_ppm>=750000"
+
+
+WATCHED = "account_id % 17 = 3"
 
 
 @query(
     "G4_watchlist_crowding",
-    q.with_book(*PLAIN, CROWD_SQL.replace("FROM risk", f"FROM {LONG_SIDE}")) + "SELECT CAST(perpetual_id AS BIGINT) AS perpetual_id, side, CASE WHEN share_ppm>=900000 THEN 'warning' ELSE 'watch' END AS severity, share_ppm AS metric_ppm FROM cr2 WHERE share_ppm>=750000",
+    q.with_book(*PLAIN, _crowded("everyone", "risk"), _crowded("watched", f"(SELECT * FROM risk WHERE {WATCHED})")) + _crowd_rows("everyone") + " UNION ALL " + _crowd_rows("watched"),
 )
 def watchlist_crowding(spark, sf):
-    """A scope that holds the long side of every market and both sides of the first."""
-    rows = plain_positions(spark, sf).where("side = 1 or perpetual_id = 1")
-    return signals.crowding_signals(rows).select(*longs("perpetual_id"), "side", "severity", "metric_ppm")
+    """All positions, and those of a list of accounts as its own scope."""
+    rows = plain_positions(spark, sf)
+    parts = [
+        signals.crowding_signals(held).select(F.lit(scope).alias("scope"), *longs("perpetual_id"), "side", "severity", "metric_ppm")
+        for scope, held in (("everyone", rows), ("watched", rows.where(WATCHED)))
+    ]
+    return parts[0].unionByName(parts[1])
 
 
 @query(
@@ -236,13 +266,19 @@ def resolved_cap(spark, sf):
     return signals.listed_resolved(rows).select("signal_id", "resolved_block")
 
 
+POSITION_RULES = "('position-liquidated','risk-input-unavailable','liquidation-distance','collateral-drawdown','leverage-utilization')"
+
+
 @query(
     "J15_signal_x_evidence",
-    q.with_book(*REPORT) + "SELECT s.signal_id, e.event_id, e.block_number, e.abi_event_name, s.rule_id FROM sig s JOIN book e ON e.event_id=s.last_event_id",
+    q.with_book(*REPORT)
+    + f"""SELECT s.signal_id, 'last' AS role, e.event_id, e.block_number, e.abi_event_name, s.rule_id FROM sig s JOIN book e ON e.event_id=s.last_event_id
+UNION ALL SELECT s.signal_id, 'reset', e.event_id, e.block_number, e.abi_event_name, s.rule_id FROM sig s JOIN risk r USING (account_id, perpetual_id) JOIN book e ON e.event_id=r.reset_event_id WHERE s.rule_id IN {POSITION_RULES}""",
 )
 def signal_x_evidence(spark, sf):
-    rows = signals.signal_evidence(report(spark, sf), b.book(spark, sf)).where("role = 'last'")
-    return rows.select("signal_id", "event_id", "block_number", "abi_event_name", "rule_id")
+    """Evidence in every role; the supplied marks of the book come from no event, so none is a mark's."""
+    rows = signals.signal_evidence(report(spark, sf), b.book(spark, sf))
+    return rows.select("signal_id", "role", "event_id", "block_number", "abi_event_name", "rule_id")
 
 
 # ---- cohort -------------------------------------------------------------

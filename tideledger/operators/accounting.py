@@ -192,14 +192,14 @@ def risk_status() -> Column:
 def position_warnings(as_of: AsOf) -> Column:
     market = F.col("perpetual_id").cast("string")
     is_open = F.col("is_open")
-    missing = F.concat(F.lit("missing as-of mark for perpetual "), market, F.lit(f" at block {as_of.block_number}"))
+    missing = F.concat(F.lit("market "), market, F.lit(f" has no price up to block {as_of.block_number}"))
     stale = F.concat(
-        F.lit("as-of mark for perpetual "), market, F.lit(" is stale: "), F.col("mark_age_ms").cast("string"),
-        F.lit(f" ms old at block {as_of.block_number}"),
+        F.lit("the price of market "), market, F.lit(f" is too old at block {as_of.block_number}, by milliseconds: "),
+        F.col("mark_age_ms").cast("string"),
     )
     return F.array_compact(
         F.array(
-            F.when(is_open & F.col("unsettled_u").isNull(), F.concat(F.lit("unsettled funding is unverified: "), F.col("funding_reason"))),
+            F.when(is_open & F.col("unsettled_u").isNull(), F.concat(F.lit("funding since the last settlement unknown: "), F.col("funding_reason"))),
             F.when(is_open & F.col("seen_mark_pns").isNull(), missing),
             F.when(is_open & F.col("seen_mark_pns").isNotNull() & F.col("mark_pns").isNull(), stale),
         )

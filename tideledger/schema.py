@@ -124,96 +124,120 @@ SETTLE_KINDS = ["position_decreased", "position_liquidated", "position_deleverag
 
 # ABI event -> kind, payload field of the account, whether the
 # payload names a market and a position side, and payload field -> column.
-_POS = ("accountId", True, True)
-_ACC = ("accountId", False, False)
-_MKT = (None, True, False)
-_MOVE = {"amountCNS": "amount_cns", "balanceCNS": "balance_cns"}
-_OPEN = {
-    "leverageHdths": "leverage_hdths", "depositCNS": "deposit_cns", "pricePNS": "price_pns",
-    "lotLNS": "lot_lns", "insFeeCNS": "ins_fee_cns", "protFeeCNS": "prot_fee_cns",
-}
-_SPAN = {
-    "startDepositCNS": "start_deposit_cns", "endDepositCNS": "end_deposit_cns",
-    "startLotLNS": "start_lot_lns", "endLotLNS": "end_lot_lns",
-}
-_FEES = {"insFeeCNS": "ins_fee_cns", "protFeeCNS": "prot_fee_cns"}
-_SETTLE = {"deltaPnlCNS": "delta_pnl_cns", "fundingCNS": "funding_cns"}
-_INCREASE = {"leverageHdths": "leverage_hdths", **_SPAN, "pricePNS": "price_pns", **_FEES}
-_DELEVERAGE = {
-    "markPricePNS": "mark_price_pns", "deleveragePricePNS": "price_pns", **_SPAN, **_SETTLE,
-    "balanceCNS": "balance_cns",
-}
-_UNWIND = {
-    "markPricePNS": "mark_price_pns", "pricePNS": "price_pns", "lotLNS": "lot_lns",
-    "depositCNS": "deposit_cns", "positionFmvCNS": "position_fmv_cns",
-}
-_UNWIND_PAID = {**_UNWIND, "paymentCNS": "payment_cns", "balanceCNS": "balance_cns"}
-_UNWIND_OWED = {**_UNWIND, "amountOwedCNS": "amount_owed_cns"}
-_FILL = {"pricePNS": "price_pns", "lotLNS": "lot_lns", "feeCNS": "fee_cns", **_MOVE}
-_RESIDUE = {"priceResiduePNSQ16": "price_residue_pnsq16"}
 ABI_EVENTS = {
     "AccountCreated": ("account_created", "id", False, False, {"account": "owner"}),
-    "AccountLiquidationCredit": (
-        "account_liquidation_credit", "accountId", True, False,
-        {"startBalanceCNS": "start_balance_cns", "endBalanceCNS": "balance_cns"},
-    ),
-    "TransferAccountToProtocol": ("account_to_protocol_transfer", *_ACC, _MOVE),
-    "TransferProtocolToAccount": ("protocol_to_account_transfer", *_ACC, _MOVE),
-    "CollateralDeposit": ("collateral_deposit", *_ACC, _MOVE),
-    "CollateralWithdrawal": ("collateral_withdrawal", *_ACC, _MOVE),
-    "IncreasePositionCollateral": (
-        "collateral_increased", "accountId", True, False, {"positionDepositCNS": "deposit_cns", **_MOVE},
-    ),
-    "PositionCollateralDecreased": (
-        "collateral_decreased", *_POS,
-        {
-            "markPricePNS": "mark_price_pns", "endEntryPricePNS": "price_pns",
-            "startDepositCNS": "start_deposit_cns", "endDepositCNS": "end_deposit_cns",
-            "balanceCNS": "balance_cns",
-        },
-    ),
-    "PositionLiquidationCredit": (
-        "position_liquidation_credit", "accountId", True, False,
-        {"startDepositCNS": "start_deposit_cns", "endDepositCNS": "end_deposit_cns"},
-    ),
-    "PositionOpened": ("position_opened", *_POS, _OPEN),
-    "PositionOpenedV2": ("position_opened", *_POS, {**_OPEN, **_RESIDUE}),
-    "PositionIncreased": ("position_increased", *_POS, _INCREASE),
-    "PositionIncreasedV2": ("position_increased", *_POS, {**_INCREASE, **_RESIDUE}),
-    "PositionDecreased": ("position_decreased", *_POS, {**_SPAN, **_SETTLE}),
-    "PositionClosed": ("position_closed", *_POS, {"pricePNS": "price_pns", **_SETTLE}),
-    "PositionLiquidated": (
-        "position_liquidated", "posAccountId", True, True,
-        {
-            "markPricePNS": "mark_price_pns", "liqPricePNS": "liq_price_pns", "liqLotLNS": "liq_lot_lns",
-            "posLotLNS": "end_lot_lns", "posDepositCNS": "deposit_cns", **_SETTLE,
-            "accBalanceCNS": "balance_cns",
-        },
-    ),
-    "PositionDeleveraged": ("position_deleveraged", *_POS, _DELEVERAGE),
-    "PositionDeleveragedV2": ("position_deleveraged", *_POS, _DELEVERAGE),
-    "PositionInverted": (
-        "position_inverted", *_POS,
-        {"leverageHdths": "leverage_hdths", **_SPAN, "pricePNS": "price_pns", **_SETTLE, **_FEES},
-    ),
-    "PositionUnwound": ("position_unwound", *_POS, _UNWIND_PAID),
-    "PositionUnwoundV2": ("position_unwound", *_POS, _UNWIND_PAID),
-    "PositionUnwoundWithoutPayment": ("position_unwound", *_POS, _UNWIND_OWED),
-    "PositionUnwoundWithoutPaymentV2": ("position_unwound", *_POS, _UNWIND_OWED),
-    "MarkUpdated": ("mark_updated", *_MKT, {"pricePNS": "mark_price_pns"}),
-    "FundingSumScalingExpUpdated": ("funding_scale_updated", *_MKT, {"newExp": "funding_scaling_exp"}),
-    "FundingEventCompleted": (
-        "market_funding", *_MKT,
-        {
-            "actualRatePct100k": "funding_rate_pct100k", "fundingPricePNS": "funding_price_pns",
-            "fundingPaymentPNS": "funding_payment_pns", "fundingSumPNS": "funding_sum_pns",
-            "fundingEventBlock": "funding_event_block", "allowOverwrite": "funding_allow_overwrite",
-        },
-    ),
-    "MakerOrderFilled": ("maker_fill", "accountId", True, False, _FILL),
-    "MakerOrderFilledV2": ("maker_fill", "accountId", True, False, _FILL),
-    "ContractAdded": ("contract_added", *_MKT, {}),
-    "ContractAddedV2": ("contract_added", *_MKT, {}),
+    "AccountLiquidationCredit": ("account_liquidation_credit", "accountId", True, False, {
+        "startBalanceCNS": "start_balance_cns", "endBalanceCNS": "balance_cns",
+    }),
+    "TransferAccountToProtocol": ("account_to_protocol_transfer", "accountId", False, False, {
+        "amountCNS": "amount_cns", "balanceCNS": "balance_cns",
+    }),
+    "TransferProtocolToAccount": ("protocol_to_account_transfer", "accountId", False, False, {
+        "amountCNS": "amount_cns", "balanceCNS": "balance_cns",
+    }),
+    "CollateralDeposit": ("collateral_deposit", "accountId", False, False, {
+        "amountCNS": "amount_cns", "balanceCNS": "balance_cns",
+    }),
+    "CollateralWithdrawal": ("collateral_withdrawal", "accountId", False, False, {
+        "amountCNS": "amount_cns", "balanceCNS": "balance_cns",
+    }),
+    "IncreasePositionCollateral": ("collateral_increased", "accountId", True, False, {
+        "positionDepositCNS": "deposit_cns", "amountCNS": "amount_cns", "balanceCNS": "balance_cns",
+    }),
+    "PositionCollateralDecreased": ("collateral_decreased", "accountId", True, True, {
+        "markPricePNS": "mark_price_pns", "endEntryPricePNS": "price_pns",
+        "startDepositCNS": "start_deposit_cns", "endDepositCNS": "end_deposit_cns",
+        "balanceCNS": "balance_cns",
+    }),
+    "PositionLiquidationCredit": ("position_liquidation_credit", "accountId", True, False, {
+        "startDepositCNS": "start_deposit_cns", "endDepositCNS": "end_deposit_cns",
+    }),
+    "PositionOpened": ("position_opened", "accountId", True, True, {
+        "leverageHdths": "leverage_hdths", "depositCNS": "deposit_cns", "pricePNS": "price_pns",
+        "lotLNS": "lot_lns", "insFeeCNS": "ins_fee_cns", "protFeeCNS": "prot_fee_cns",
+    }),
+    "PositionOpenedV2": ("position_opened", "accountId", True, True, {
+        "leverageHdths": "leverage_hdths", "depositCNS": "deposit_cns", "pricePNS": "price_pns",
+        "lotLNS": "lot_lns", "insFeeCNS": "ins_fee_cns", "protFeeCNS": "prot_fee_cns",
+        "priceResiduePNSQ16": "price_residue_pnsq16",
+    }),
+    "PositionIncreased": ("position_increased", "accountId", True, True, {
+        "leverageHdths": "leverage_hdths", "startDepositCNS": "start_deposit_cns",
+        "endDepositCNS": "end_deposit_cns", "startLotLNS": "start_lot_lns", "endLotLNS": "end_lot_lns",
+        "pricePNS": "price_pns", "insFeeCNS": "ins_fee_cns", "protFeeCNS": "prot_fee_cns",
+    }),
+    "PositionIncreasedV2": ("position_increased", "accountId", True, True, {
+        "leverageHdths": "leverage_hdths", "startDepositCNS": "start_deposit_cns",
+        "endDepositCNS": "end_deposit_cns", "startLotLNS": "start_lot_lns", "endLotLNS": "end_lot_lns",
+        "pricePNS": "price_pns", "insFeeCNS": "ins_fee_cns", "protFeeCNS": "prot_fee_cns",
+        "priceResiduePNSQ16": "price_residue_pnsq16",
+    }),
+    "PositionDecreased": ("position_decreased", "accountId", True, True, {
+        "startDepositCNS": "start_deposit_cns", "endDepositCNS": "end_deposit_cns",
+        "startLotLNS": "start_lot_lns", "endLotLNS": "end_lot_lns", "deltaPnlCNS": "delta_pnl_cns",
+        "fundingCNS": "funding_cns",
+    }),
+    "PositionClosed": ("position_closed", "accountId", True, True, {
+        "pricePNS": "price_pns", "deltaPnlCNS": "delta_pnl_cns", "fundingCNS": "funding_cns",
+    }),
+    "PositionLiquidated": ("position_liquidated", "posAccountId", True, True, {
+        "markPricePNS": "mark_price_pns", "liqPricePNS": "liq_price_pns", "liqLotLNS": "liq_lot_lns",
+        "posLotLNS": "end_lot_lns", "posDepositCNS": "deposit_cns", "deltaPnlCNS": "delta_pnl_cns",
+        "fundingCNS": "funding_cns", "accBalanceCNS": "balance_cns",
+    }),
+    "PositionDeleveraged": ("position_deleveraged", "accountId", True, True, {
+        "markPricePNS": "mark_price_pns", "deleveragePricePNS": "price_pns",
+        "startDepositCNS": "start_deposit_cns", "endDepositCNS": "end_deposit_cns",
+        "startLotLNS": "start_lot_lns", "endLotLNS": "end_lot_lns", "deltaPnlCNS": "delta_pnl_cns",
+        "fundingCNS": "funding_cns", "balanceCNS": "balance_cns",
+    }),
+    "PositionDeleveragedV2": ("position_deleveraged", "accountId", True, True, {
+        "markPricePNS": "mark_price_pns", "deleveragePricePNS": "price_pns",
+        "startDepositCNS": "start_deposit_cns", "endDepositCNS": "end_deposit_cns",
+        "startLotLNS": "start_lot_lns", "endLotLNS": "end_lot_lns", "deltaPnlCNS": "delta_pnl_cns",
+        "fundingCNS": "funding_cns", "balanceCNS": "balance_cns",
+    }),
+    "PositionInverted": ("position_inverted", "accountId", True, True, {
+        "leverageHdths": "leverage_hdths", "startDepositCNS": "start_deposit_cns",
+        "endDepositCNS": "end_deposit_cns", "startLotLNS": "start_lot_lns", "endLotLNS": "end_lot_lns",
+        "pricePNS": "price_pns", "deltaPnlCNS": "delta_pnl_cns", "fundingCNS": "funding_cns",
+        "insFeeCNS": "ins_fee_cns", "protFeeCNS": "prot_fee_cns",
+    }),
+    "PositionUnwound": ("position_unwound", "accountId", True, True, {
+        "markPricePNS": "mark_price_pns", "pricePNS": "price_pns", "lotLNS": "lot_lns",
+        "depositCNS": "deposit_cns", "positionFmvCNS": "position_fmv_cns", "paymentCNS": "payment_cns",
+        "balanceCNS": "balance_cns",
+    }),
+    "PositionUnwoundV2": ("position_unwound", "accountId", True, True, {
+        "markPricePNS": "mark_price_pns", "pricePNS": "price_pns", "lotLNS": "lot_lns",
+        "depositCNS": "deposit_cns", "positionFmvCNS": "position_fmv_cns", "paymentCNS": "payment_cns",
+        "balanceCNS": "balance_cns",
+    }),
+    "PositionUnwoundWithoutPayment": ("position_unwound", "accountId", True, True, {
+        "markPricePNS": "mark_price_pns", "pricePNS": "price_pns", "lotLNS": "lot_lns",
+        "depositCNS": "deposit_cns", "positionFmvCNS": "position_fmv_cns", "amountOwedCNS": "amount_owed_cns",
+    }),
+    "PositionUnwoundWithoutPaymentV2": ("position_unwound", "accountId", True, True, {
+        "markPricePNS": "mark_price_pns", "pricePNS": "price_pns", "lotLNS": "lot_lns",
+        "depositCNS": "deposit_cns", "positionFmvCNS": "position_fmv_cns", "amountOwedCNS": "amount_owed_cns",
+    }),
+    "MarkUpdated": ("mark_updated", None, True, False, {"pricePNS": "mark_price_pns"}),
+    "FundingSumScalingExpUpdated": ("funding_scale_updated", None, True, False, {"newExp": "funding_scaling_exp"}),
+    "FundingEventCompleted": ("market_funding", None, True, False, {
+        "actualRatePct100k": "funding_rate_pct100k", "fundingPricePNS": "funding_price_pns",
+        "fundingPaymentPNS": "funding_payment_pns", "fundingSumPNS": "funding_sum_pns",
+        "fundingEventBlock": "funding_event_block", "allowOverwrite": "funding_allow_overwrite",
+    }),
+    "MakerOrderFilled": ("maker_fill", "accountId", True, False, {
+        "pricePNS": "price_pns", "lotLNS": "lot_lns", "feeCNS": "fee_cns", "amountCNS": "amount_cns",
+        "balanceCNS": "balance_cns",
+    }),
+    "MakerOrderFilledV2": ("maker_fill", "accountId", True, False, {
+        "pricePNS": "price_pns", "lotLNS": "lot_lns", "feeCNS": "fee_cns", "amountCNS": "amount_cns",
+        "balanceCNS": "balance_cns",
+    }),
+    "ContractAdded": ("contract_added", None, True, False, {}),
+    "ContractAddedV2": ("contract_added", None, True, False, {}),
 }
 # Payload numbers that may be negative; all others must be non-negative.
 SIGNED_PAYLOAD = [
