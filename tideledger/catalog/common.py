@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tideledger.catalog import binding as b
 from tideledger.functions.exact import to_long, trunc_div
 from tideledger.operators import accounting, analytics, funding
-from tideledger.operators.ledger import POSITION, history_state, position_state
+from tideledger.operators.ledger import position_state
 from tideledger.params import AsOf, Coverage, FundingScope
 
 CNS_UNITS = 65536 * 10**8
@@ -61,9 +61,7 @@ def _history(spark, sf, cut: AsOf) -> DataFrame:
 
 def _positions(spark, sf, cut: AsOf) -> DataFrame:
     events = b.book(spark, sf)
-    rows = history(spark, sf, cut)
-    unsettled = funding.unsettled_funding(rows, b.REGISTRY, scope_at(cut)).drop("baseline_block", "baseline_event_id")
-    state = history_state(rows).drop("baseline_block", "baseline_event_id").join(unsettled, POSITION, "left")
+    state = funding.funded_state(history(spark, sf, cut), b.REGISTRY, scope_at(cut))
     return accounting.price_positions(state, b.supplied_marks(events, cut), b.REGISTRY, cut)
 
 

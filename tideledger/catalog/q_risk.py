@@ -20,6 +20,7 @@ from tideledger.catalog.q_ledger import (
 from tideledger.functions.exact import trunc_div
 from tideledger.operators import accounting, cohort, ledger, signals
 from tideledger.operators.analytics import market_state
+from tideledger.plans.kept import written
 
 CUT, PREV = b.CUT, b.PREVIOUS
 
@@ -69,13 +70,14 @@ ORDER_SQL = "srank DESC, crank DESC, score_ppm DESC, signal_id"
 
 
 def report(spark, sf, cut=CUT):
-    return b.planned(spark, ("report", sf, cut), lambda: _report(spark, sf, cut))
+    """The whole report; what several of its rules read is written once."""
+    rows = written(positions(spark, sf, cut), "positions")
+    markets = written(market_state(rows), "markets")
+    return signals.signal_report(rows, written(eligibility(spark, sf, cut), "accounts"), markets, day_flows(spark, sf, cut), cut)
 
 
-def _report(spark, sf, cut):
-    rows = positions(spark, sf, cut)
-    _, markets = book_flows(spark, sf, cut)
-    return signals.signal_report(rows, eligibility(spark, sf, cut), market_state(rows), markets.where("window = '24h'"), cut)
+def day_flows(spark, sf, cut=CUT):
+    return book_flows(spark, sf, cut)[1].where("window = '24h'")
 
 
 def rule_query(name, rule_id):
@@ -83,7 +85,8 @@ def rule_query(name, rule_id):
 
     @query(name, sql)
     def one_rule(spark, sf):
-        rows = report(spark, sf).where(F.col("rule_id") == rule_id)
+        mine = positions(spark, sf)
+        rows = signals.signal_report(mine, eligibility(spark, sf), market_state(mine), day_flows(spark, sf), CUT, rules=(rule_id,))
         return rows.select("signal_id", "severity", "metric_ppm", "threshold_ppm", "score_ppm")
 
     return one_rule
@@ -311,7 +314,7 @@ SELECT sr.account_id, sr.statistic, CAST(((2*sk.below+sk.same)*10000)//(2*sk.n)
 
 @query("C2_wallet_percentiles", q.with_book(*COHORT) .rstrip() + "," + RANK_SQL)
 def wallet_percentiles(spark, sf):
-    rows = cohort.midrank_percentiles(cohort.statistic_rows(stats(spark, sf)))
+    rows = cohort.midrank_percentiles(cohort.statistic_rows(written(stats(spark, sf), "statistics")))
     return rows.select("account_id", "statistic", "percentile_hundredths")
 
 

@@ -17,8 +17,8 @@ from tideledger.functions.exact import (
     units_from_native,
 )
 from tideledger.operators.checks import mark_is_fresh, mark_violations, require_clean, with_event_id
-from tideledger.operators.funding import funded_history, unsettled_funding
-from tideledger.operators.ledger import POSITION, account_state, history_state, latest_marks, position_state
+from tideledger.operators.funding import funded_history, funded_state
+from tideledger.operators.ledger import POSITION, account_state, latest_marks, position_state
 from tideledger.params import AsOf, Coverage, FundingScope, Registry
 from tideledger.schema import LONG, REPLAY_PROFILES
 
@@ -230,11 +230,7 @@ def position_risk(
     if scope is None:
         state = position_state(events, as_of)
     else:
-        history = funded_history(events, registry, as_of, scope)
-        funding = unsettled_funding(history, registry, scope)
-        state = history_state(history).join(
-            funding.drop("baseline_block", "baseline_event_id"), POSITION, "left"
-        )
+        state = funded_state(funded_history(events, registry, as_of, scope), registry, scope)
     return price_positions(state, marks, registry, as_of)
 
 

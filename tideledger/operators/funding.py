@@ -16,7 +16,7 @@ pending payment at a time), whatever the number of accounts and trades.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideledger.functions.exact import Q16, UNIT_DIGITS, dec, pow10, units_from_native
@@ -176,10 +176,14 @@ def priced_payments(payments: DataFrame, registry: Registry, scope: FundingScope
 
 def baselines(schedule: DataFrame) -> DataFrame:
     """Lowest effective block of each market and the event that published it."""
-    return schedule.groupBy("perpetual_id").agg(
+    return schedule.groupBy("perpetual_id").agg(*_baseline())
+
+
+def _baseline() -> list[Column]:
+    return [
         F.min("effective_block").alias("baseline_block"),
         F.min_by("event_id", "effective_block").alias("baseline_event_id"),
-    )
+    ]
 
 
 TOTALS = {"fund_total_u": "total_u", "fund_unknown": "unknown_units", "fund_ordinal": "ordinal"}
@@ -226,10 +230,12 @@ def with_totals(rows: DataFrame, calendar: DataFrame, block: str = "block_number
 
 def cutoff_totals(schedule: DataFrame, as_of: AsOf) -> DataFrame:
     """Totals of each market at the cutoff; at most one row per market."""
-    due = schedule.where(F.col("effective_block") <= as_of.block_number)
-    return due.groupBy("perpetual_id").agg(
-        *[F.max_by(c, "effective_block").alias(f"cut_{n}") for n, c in TOTALS.items()]
-    )
+    return schedule.groupBy("perpetual_id").agg(*_cutoff(as_of))
+
+
+def _cutoff(as_of: AsOf) -> list[Column]:
+    due = F.when(F.col("effective_block") <= as_of.block_number, F.col("effective_block"))
+    return [F.max_by(c, due).alias(f"cut_{n}") for n, c in TOTALS.items()]
 
 
 def funded_history(
@@ -244,8 +250,8 @@ def funded_history(
     )
     history = position_history(position_rows, as_of, extra=list(TOTALS), range_width=range_width)
     # One row per listed market of the registry, whose size is checked.
-    history = history.join(F.broadcast(cutoff_totals(schedule, as_of)), "perpetual_id", "left")
-    history = history.join(F.broadcast(baselines(schedule)), "perpetual_id", "left")
+    ends = schedule.groupBy("perpetual_id").agg(*_cutoff(as_of), *_baseline())
+    history = history.join(F.broadcast(ends), "perpetual_id", "left")
     ends = {n: F.coalesce(F.col(f"next_{n}"), F.col(f"cut_{n}"), F.lit(0)) for n in TOTALS}
     gone = {n: ends[n] - F.col(n) for n in TOTALS}
     live = F.col("is_open")
@@ -261,7 +267,20 @@ def funded_history(
 
 def unsettled_funding(history: DataFrame, registry: Registry, scope: FundingScope) -> DataFrame:
     """Unsettled funding per position since its last proven reset."""
+    return span_view(_last_spans(history, []), registry, scope)
+
+
+def funded_state(history: DataFrame, registry: Registry, scope: FundingScope) -> DataFrame:
+    """Final state of each position with its unsettled funding, from one pass over the history."""
+    state = [c for c in history.columns if c not in (*POSITION, "baseline_block", "baseline_event_id")]
+    view = span_view(_last_spans(history, state), registry, scope, [f"s.final.{c}" for c in state])
+    return view.drop("baseline_block", "baseline_event_id")
+
+
+def _last_spans(history: DataFrame, state: list[str]) -> DataFrame:
+    """Sums of each position's last span, and its last row (``state``) as the struct ``final``."""
     reset_row = F.when(kind_is("position_opened", "position_increased", "position_inverted"), sequence())
+    final = [F.max_by(F.struct(*state), F.struct(*ORDER, "event_id")).alias("final")] if state else []
     spans = history.groupBy(*POSITION, "span").agg(
         F.sum("accrued_u").alias("accrued_u"),
         F.sum("accrued_unknown").alias("unknown_payments"),
@@ -270,16 +289,10 @@ def unsettled_funding(history: DataFrame, registry: Registry, scope: FundingScop
         F.max("baseline_block").alias("baseline_block"),
         F.max("baseline_event_id").alias("baseline_event_id"),
         F.max_by("is_open", sequence()).alias("is_open"),
+        *final,
     )
-    last = spans.groupBy(*POSITION).agg(
-        F.max_by(
-            F.struct(
-                "accrued_u", "unknown_payments", "settled_cns", "reset", "baseline_block", "baseline_event_id", "is_open"
-            ),
-            "span",
-        ).alias("s")
-    )
-    return span_view(last, registry, scope)
+    facts = [c for c in spans.columns if c not in (*POSITION, "span")]
+    return spans.groupBy(*POSITION).agg(F.max_by(F.struct(*facts), "span").alias("s"))
 
 
 def span_view(last: DataFrame, registry: Registry, scope: FundingScope, keep: list[str] | None = None) -> DataFrame:

@@ -6,6 +6,8 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
+_STAND_INS: dict[str, str] = {}
+
 
 def local_session(cpus: int | str = 8, name: str = "tideledger") -> SparkSession:
     """Session for tests and benchmarks on one machine."""
@@ -32,6 +34,8 @@ def checkpoint_folder(spark: SparkSession) -> str:
         return configured
     if spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    # The setting is fixed once a session runs, so the stand-in is remembered here.
+    application = spark.sparkContext.applicationId
+    if application not in _STAND_INS:
+        _STAND_INS[application] = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    return _STAND_INS[application]
