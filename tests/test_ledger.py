@@ -160,3 +160,44 @@ def test_liquidation_price_table(spark):
         entry_notional = accounting.entry_q16() * F.col("lot_lns") * accounting.amount_factor()
         price = accounting.liquidation_price(entry_notional, accounting.dec(funding) * accounting.dec(kit.UNIT))
         assert kit.coins(df.select(price.alias("p")).first().p) == expected
+
+
+def test_eligibility_needs_provenance_one_profile_and_the_exchange(spark):
+    """Null, mixed and inspection-only provenance and a foreign contract never count as replayable."""
+    profiles = {
+        1: ["risk-hotpath-v3", "risk-hotpath-v3"], 2: ["risk-hotpath-v3", None], 3: [None, None],
+        4: ["risk-hotpath-v2", "risk-hotpath-v3"], 5: ["risk-hotpath-v1", "risk-hotpath-v1"], 6: ["risk-hotpath-v3", "risk-hotpath-v3"],
+    }
+    rows = []
+    for account, given in profiles.items():
+        for n, profile in enumerate(given):
+            kind = "collateral_deposit" if n else "account_created"
+            row = kit.event(kind, 54773020 + n, account, account_id=account, provenance=profile and dict(ingestion_profile=profile))
+            rows.append(row | (dict(contract_address="0xother") if account == 6 and n else {}))
+    events, cut, basis = kit.frame(spark, rows), kit.as_of(54773080), Coverage(kit.CHAIN, kit.DEPLOYED + 1, 54773080)
+
+    def judged(**how):
+        found = accounting.replay_eligibility(events, cut, basis, kit.registry(), **how)
+        return {r.account_id: (r.basis, r.eligible) for r in found.collect()}
+
+    expected = {
+        1: ("account-birth", True), 2: ("missing-provenance", False), 3: ("missing-provenance", False), 4: ("mixed-profiles", False),
+        5: ("ingestion-profile", False), 6: ("contract-mismatch", False),
+    }
+    assert judged(indexed=True) == expected
+    assert judged() == {**expected, 3: ("account-birth", True)}
+
+
+def test_report_of_few_rules_equals_the_whole_one(spark):
+    events, cut = kit.frame(spark, kit.open_position() + kit.liquidation()), kit.as_of(54773080)
+    from tideledger.operators import analytics, signals
+
+    positions = accounting.position_risk(events, kit.registry(), cut)
+    eligible = accounting.replay_eligibility(events, cut, Coverage(kit.CHAIN, kit.DEPLOYED, 54773080), kit.registry())
+    whole = signals.signal_report(positions, eligible, analytics.market_state(positions), None, cut)
+    found = {r.signal_id: r for r in whole.collect()}
+    assert {r.rule_id for r in found.values()} == {"position-liquidated", "risk-input-unavailable"}
+    for rule in [*signals.POSITION_RULES, "incomplete-history", "market-skew"]:
+        part = signals.signal_report(positions, eligible, analytics.market_state(positions), None, cut, rules=(rule,))
+        assert part.columns == whole.columns
+        assert {r.signal_id: r for r in part.collect()} == {k: r for k, r in found.items() if r.rule_id == rule}

@@ -25,6 +25,7 @@ from tideledger.operators import accounting, analytics, checks, evidence, fundin
 from tideledger.operators.ledger import POSITION, kind_is
 from tideledger.params import Coverage
 from tideledger.plans import snapshot
+from tideledger.schema import PROVENANCE
 from tideledger.session import checkpoint_folder
 from tideledger.sources import publication
 
@@ -139,14 +140,34 @@ ELIGIBLE_SQL = f"""elig AS (SELECT account_id, count(*) AS event_count, min(bloc
   arg_max(event_id,{SEQ}) AS last_event_id FROM book WHERE account_id IS NOT NULL AND block_number<={BLOCK} GROUP BY 1)"""
 
 
-@query("W10_replay_eligibility", q.with_book(ELIGIBLE_SQL) + "SELECT account_id, eligible, basis, first_block FROM elig")
+# Faults for the replay checks, in both dialects: events without provenance, an inspection-only
+# profile, two profiles in one account, another contract.
+PROFILE = """CASE WHEN account_id % 13 = 3 AND kind = 'position_increased' THEN NULL WHEN account_id % 13 = 5 THEN 'risk-hotpath-v1'
+  WHEN account_id % 13 = 7 AND kind LIKE 'position%' THEN 'risk-hotpath-v2' ELSE 'risk-hotpath-v3' END"""
+FOREIGN = "account_id % 13 = 9 AND kind = 'collateral_deposit'"
+SOURCED_SQL = f"""acc AS (SELECT account_id, count(*) AS event_count, min(block_number) AS first_block, max(block_number) AS last_block, arg_max(event_id,{SEQ}) AS last_event_id,
+  arg_min(kind,{SEQ}) AS first_kind, bool_or({FOREIGN}) AS foreign_contract, bool_or({PROFILE} IS NULL) AS unproven, count(DISTINCT {PROFILE}) AS profiles, min({PROFILE}) AS profile
+  FROM book WHERE account_id IS NOT NULL AND block_number<={BLOCK} GROUP BY 1),
+judged AS (SELECT *, CASE WHEN foreign_contract THEN 'contract-mismatch' WHEN unproven THEN 'missing-provenance' WHEN profiles>1 THEN 'mixed-profiles' WHEN profile='risk-hotpath-v1' THEN 'ingestion-profile'
+  WHEN first_kind='account_created' THEN 'account-birth' ELSE 'incomplete-history' END AS basis FROM acc)"""
+
+
+def sourced_accounts(spark, sf):
+    """Eligibility over the book as an index would deliver it, with faults in some accounts."""
+    given = F.struct(*[F.expr(PROFILE if n == "ingestion_profile" else "cast(null as string)").alias(n) for n in PROVENANCE.names])
+    contract = F.when(F.expr(FOREIGN), "0xother").otherwise(F.col("contract_address"))
+    events = b.book(spark, sf).withColumns({"provenance": given, "contract_address": contract})
+    return accounting.replay_eligibility(events, CUT, b.BOUNDED, b.REGISTRY, indexed=True)
+
+
+@query("W10_replay_eligibility", q.with_book(SOURCED_SQL) + "SELECT account_id, basis='account-birth' AS eligible, basis, first_block FROM judged")
 def replay_eligibility(spark, sf):
-    return eligibility(spark, sf).select("account_id", "eligible", "basis", "first_block")
+    return sourced_accounts(spark, sf).select("account_id", "eligible", "basis", "first_block")
 
 
-@query("A16_account_slice_summary", q.with_book(ELIGIBLE_SQL) + "SELECT account_id, event_count, first_block, last_block, last_event_id, eligible FROM elig")
+@query("A16_account_slice_summary", q.with_book(SOURCED_SQL) + "SELECT account_id, event_count, first_block, last_block, last_event_id, basis='account-birth' AS eligible FROM judged")
 def account_slice(spark, sf):
-    return eligibility(spark, sf).select("account_id", "event_count", "first_block", "last_block", "last_event_id", "eligible")
+    return sourced_accounts(spark, sf).select("account_id", "event_count", "first_block", "last_block", "last_event_id", "eligible")
 
 
 # ---- funding ------------------------------------------------------------

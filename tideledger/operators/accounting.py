@@ -300,8 +300,14 @@ def one_wallet(wallet_rows: DataFrame, account_id: int) -> DataFrame:
     return found
 
 
-def replay_eligibility(events: DataFrame, as_of: AsOf, coverage: Coverage, registry: Registry) -> DataFrame:
-    """Can an account be replayed: right profile, and history from deployment or birth."""
+def replay_eligibility(
+    events: DataFrame, as_of: AsOf, coverage: Coverage, registry: Registry, *, indexed: bool = False
+) -> DataFrame:
+    """Can an account be replayed: one exchange, one right profile, and history from deployment or birth.
+
+    Events of an index (``indexed``) must all name their provenance; events of a bundle may all
+    lack it, but an account of which only some events name one cannot be replayed either.
+    """
     found = with_event_id(events.where(F.col("account_id").isNotNull() & as_of.includes()))
     seq = F.shiftleft(F.col("block_number"), 31) + F.col("log_index")
     profile = F.col("provenance.ingestion_profile") if "provenance" in events.columns else F.lit(None).cast("string")
@@ -313,16 +319,21 @@ def replay_eligibility(events: DataFrame, as_of: AsOf, coverage: Coverage, regis
         F.max_by("event_id", seq).alias("last_event_id"),
         F.min(profile).alias("lowest_profile"),
         F.max(profile).alias("highest_profile"),
+        F.max(profile.isNull()).alias("unprofiled"),
+        F.max(~F.lower("contract_address").eqNullSafe(registry.exchange_address.lower())).alias("foreign"),
     )
-    return judged_accounts(facts, coverage, registry)
+    return judged_accounts(facts, coverage, registry, indexed=indexed)
 
 
-def judged_accounts(facts: DataFrame, coverage: Coverage, registry: Registry) -> DataFrame:
-    """Eligibility from the facts of each account."""
+def judged_accounts(facts: DataFrame, coverage: Coverage, registry: Registry, *, indexed: bool = False) -> DataFrame:
+    """Eligibility from the facts of each account; ``foreign`` may be left out where the source checks the contract."""
     mixed = F.col("lowest_profile") != F.col("highest_profile")
+    unproven = F.col("unprofiled") & (F.lit(indexed) | F.col("lowest_profile").isNotNull())
     from_start = coverage.start_block <= registry.deployed_at_block
     basis = (
-        F.when(mixed, "mixed-profiles")
+        F.when(F.col("foreign") if "foreign" in facts.columns else F.lit(False), "contract-mismatch")
+        .when(unproven, "missing-provenance")
+        .when(mixed, "mixed-profiles")
         .when(F.col("lowest_profile").isNotNull() & ~F.col("lowest_profile").isin(REPLAY_PROFILES), "ingestion-profile")
         .when(F.lit(from_start), "deployment-history")
         .when(F.col("first_kind") == "account_created", "account-birth")
