@@ -9,7 +9,7 @@ import samples
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tideledger.llm import forest, jaccard_join, language, merkle, range_coder, substrings, toxicity
+from tideledger.llm import forest, jaccard_join, language, merkle, range_coder, substrings, token_file, toxicity
 from tideledger.llm import words as w
 
 
@@ -139,3 +139,16 @@ def test_merkle_finds_the_edit():
     assert not rest and "changed" in edited[start:end] and end - start < 400
     empty, blank, same = merkle.trees(pa.array([None, " ", text]))
     assert merkle.likeness(a, same) == 1 and merkle.likeness(a, empty) == 0 and empty.root != blank.root
+
+
+def test_words_of_latin_letters_are_encoded_as_the_library_does():
+    from tideledger.llm.queries import word_tokenizer
+
+    words, rng = token_file.WordEncoder(word_tokenizer()), random.Random(3)
+    letters = [chr(c) for c in range(0x41, 0x250) if chr(c).isalpha()]
+    texts = [f"{a} x{a}y {a}{a}" for a in letters] + ["".join(rng.choice(letters) for _ in range(rng.randint(1, 12))) for _ in range(2000)]
+    texts += ["".join(rng.choice("abAé'sñß.,!07-́İΣя ") for _ in range(12)) for _ in range(2000)]
+    for piece in w.pieces(pa.array(texts)):
+        ids, sizes = words.encode(piece)
+        for own, text in zip(np.split(ids, np.cumsum(sizes)[:-1]), texts[piece.first :], strict=False):
+            assert own.tolist() == words.whole(text).tolist(), text

@@ -41,6 +41,9 @@ _TAIL = np.isin(np.arange(256), list(b".,!?;:%*&#$"))
 _ASCII = (ALNUM & (np.arange(256) < 0x80))[LOWER]
 _HEAD = struct.Struct("<4sIII")
 _MAGIC = b"TIDB"
+#: Byte-level vocabularies write a printable byte as itself and the n-th other one as U+0100 + n.
+_OTHER_BYTES = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
+_BYTE_CHARACTERS = {b: 256 + n for n, b in enumerate(_OTHER_BYTES)}
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -58,6 +61,20 @@ def _marks_apart(piece) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(data, begin, 32), piece.bounds + np.searchsorted(begin, piece.bounds)
 
 
+def _letters(word: str) -> str | None:
+    """What the model gets for a word of Latin letters: lower case, a character per UTF-8 byte.
+
+    Letters below U+0250 are composed already, so normalising leaves them alone.  None for any
+    other word, and where lower case brings a mark that is no letter.
+    """
+    if not word.isalpha() or max(word) >= "\u0250":
+        return None
+    if word.isascii():
+        return word.lower()
+    low = word.lower()
+    return low.encode().decode("latin-1").translate(_BYTE_CHARACTERS) if low.isalpha() else None
+
+
 class WordEncoder:
     """The library's ids of texts, by a memo of words."""
 
@@ -78,21 +95,28 @@ class WordEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int64)
 
     def _encode_new(self, new: list[bytes]) -> None:
-        """Takes words up into the memo; ASCII letters alone need no normalising and splitting."""
+        """Takes words up into the memo; those of Latin letters alone are one piece, as `_letters` gives it."""
         model, memo = self.tokenizer.model, self.memo
         ids: list[int] = []
         lengths: list[int] = []
-        plain = [x for x in new if x.isalpha()]
-        others = [x for x in new if not x.isalpha()]
-        for word in plain:
-            own = model.tokenize(word.decode())
+        words: list[bytes] = []
+        others: list[tuple[bytes, str]] = []
+        for word in new:
+            text = word.decode("utf-8", "replace")
+            letters = _letters(text)
+            if letters is None:
+                others.append((word, text))
+                continue
+            own = model.tokenize(letters)
             ids += [x.id for x in own]
             lengths.append(len(own))
-        for own in self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in others], add_special_tokens=False):
+            words.append(word)
+        for own in self.tokenizer.encode_batch_fast([text for _, text in others], add_special_tokens=False):
             own = own.ids
             ids += own
             lengths.append(len(own))
-        memo.update(zip(plain + others, range(len(memo), len(memo) + len(new)), strict=True))
+        words += [word for word, _ in others]
+        memo.update(zip(words, range(len(memo), len(memo) + len(new)), strict=True))
         size = np.array(lengths, np.int64)
         self.begin = np.concatenate((self.begin, len(self.ids) + np.cumsum(size) - size))
         self.length = np.concatenate((self.length, size))
