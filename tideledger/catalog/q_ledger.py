@@ -640,6 +640,14 @@ def publish_tables(spark, sf):
 
 # ---- reconciliation -----------------------------------------------------
 
+def at_cut():
+    """The cutoff that a reference names."""
+    return [
+        F.lit(CUT.chain_id).alias("chain_id"), F.lit(CUT.block_number).alias("as_of_block"), F.lit(CUT.block_hash).alias("as_of_block_hash"),
+        F.lit(None).cast("int").alias("as_of_log_index"), F.lit(CUT.timestamp_ms).alias("as_of_timestamp_ms"),
+    ]
+
+
 @query(
     "E2_account_reconcile",
     q.with_book(*WALLET) + f"""SELECT account_id, field, CASE WHEN actual IS NULL OR expected IS NULL THEN 'unverified' WHEN actual=expected THEN 'matched' ELSE 'mismatch' END AS status FROM (
@@ -648,55 +656,105 @@ def publish_tables(spark, sf):
   SELECT account_id, 'free_balance_u', balance, balance FROM wal)""",
 )
 def account_reconcile(spark, sf):
-    """A reference that differs for every third account and lacks fees for every fifth."""
+    """A reference at the same cutoff that differs for every third account and lacks fees for every fifth."""
     wallets = wallet_rows(spark, sf)
     a = F.col("account_id")
     reference = wallets.select(
         "account_id", (F.col("realized_pnl_u") + F.when(a % 3 == 0, F.lit(CNS_UNITS)).otherwise(F.lit(0))).alias("realized_pnl_u"),
-        "realized_funding_u", F.when(a % 5 != 0, F.col("fees_u")).alias("fees_u"), "free_balance_u",
+        "realized_funding_u", F.when(a % 5 != 0, F.col("fees_u")).alias("fees_u"), "free_balance_u", *at_cut(),
     )
-    return evidence.account_reconcile(wallets, reference).select("account_id", "field", "status")
+    return evidence.account_reconcile(wallets, reference, CUT).select("account_id", "field", "status")
 
 
-E3_SQL = """pr AS (SELECT account_id, perpetual_id, CASE WHEN is_open THEN 'open' ELSE 'closed' END AS status, CASE WHEN is_open THEN lot ELSE 0 END + CASE WHEN is_open AND account_id%4=0 THEN 1 ELSE 0 END AS rlot,
-  CASE WHEN is_open THEN dep ELSE 0 END AS rdep, CASE WHEN is_open THEN side END AS rside, CASE WHEN is_open THEN eq16 END AS rentry, status AS cstatus, lot, dep, CASE WHEN status='open' THEN side END AS cside, CASE WHEN status='open' THEN eq16 END AS centry FROM risk),
+SCOPED = (1, 2, 3, 4)
+# A reference names every market of its scope for each account, open or closed.
+PAIRS_SQL = f"""pairs AS (SELECT account_id, m.perpetual_id FROM (SELECT DISTINCT account_id FROM risk), (SELECT unnest({list(SCOPED)}) AS perpetual_id) m)"""
+E3_SQL = f"""{PAIRS_SQL},
+pr AS (SELECT account_id, perpetual_id, CASE WHEN is_open THEN 'open' ELSE 'closed' END AS status, CASE WHEN is_open THEN lot ELSE 0 END + CASE WHEN is_open AND account_id%4=0 THEN 1 ELSE 0 END AS rlot,
+  CASE WHEN is_open THEN dep ELSE 0 END AS rdep, CASE WHEN is_open THEN side END AS rside, CASE WHEN is_open THEN eq16 END AS rentry, COALESCE(status,'closed') AS cstatus, COALESCE(lot,0) AS lot, COALESCE(dep,0) AS dep,
+  CASE WHEN status='open' THEN side END AS cside, CASE WHEN status='open' THEN eq16 END AS centry FROM pairs LEFT JOIN risk USING (account_id, perpetual_id)),
 pc AS (SELECT account_id, perpetual_id, 'status' AS field, cstatus=status AS ok FROM pr UNION ALL SELECT account_id, perpetual_id, 'size', lot=rlot FROM pr UNION ALL SELECT account_id, perpetual_id, 'deposit', dep=rdep FROM pr
   UNION ALL SELECT account_id, perpetual_id, 'side', cside IS NOT DISTINCT FROM rside FROM pr WHERE status='open' OR cstatus='open' UNION ALL SELECT account_id, perpetual_id, 'entry', centry IS NOT DISTINCT FROM rentry FROM pr WHERE status='open' OR cstatus='open')"""
 
 
 def _position_reference(spark, sf):
-    """Reference positions from the state, one lot off for every fourth account."""
+    """Reference positions of four markets from the state, one lot off for every fourth account."""
     rows = plain_positions(spark, sf).withColumn("entry_q16", accounting.entry_q16())
-    live, a = F.col("is_open"), F.col("account_id")
+    pairs = rows.select("account_id").distinct().select("account_id", F.explode(F.array(*[F.lit(m) for m in SCOPED])).alias("perpetual_id"))
+    live, a = F.coalesce("is_open", F.lit(False)), F.col("account_id")
     zero = F.lit(0).cast("decimal(38,0)")
-    reference = rows.select(
+    known = rows.select(*POSITION, "is_open", "lot_lns", "deposit_cns", "side_name", "entry_q16")
+    reference = pairs.join(known, POSITION, "left").select(
         *POSITION, F.when(live, "open").otherwise("closed").alias("status"),
         (F.when(live, F.col("lot_lns")).otherwise(zero) + F.when(live & (a % 4 == 0), F.lit(1)).otherwise(F.lit(0))).alias("lot_lns"),
         F.when(live, F.col("deposit_cns")).otherwise(zero).alias("deposit_cns"),
-        F.when(live, F.col("side_name")).alias("side_name"), F.when(live, F.col("entry_q16")).alias("entry_q16"),
+        F.when(live, F.col("side_name")).alias("side_name"), F.when(live, F.col("entry_q16")).alias("entry_q16"), *at_cut(),
     )
     return rows, reference
 
 
+def _position_checks(spark, sf):
+    return evidence.position_reconcile(*_position_reference(spark, sf), CUT, SCOPED)
+
+
 @query("E3_position_reconcile", q.with_book(*PLAIN, E3_SQL) + f"SELECT {P}, field, CASE WHEN ok THEN 'matched' ELSE 'mismatch' END AS status FROM pc")
 def position_reconcile(spark, sf):
+    return _position_checks(spark, sf).select(*ident(), "field", "status")
+
+
+@query("E3_excluded_positions", q.with_book(*PLAIN) + f"SELECT {P}, status FROM risk WHERE perpetual_id NOT IN {SCOPED}")
+def excluded_positions(spark, sf):
+    """Ledger positions in markets that the reference does not cover."""
     rows, reference = _position_reference(spark, sf)
-    return evidence.position_reconcile(rows, reference).select(*ident(), "field", "status")
+    return evidence.excluded_positions(rows, reference, SCOPED).select(*ident(), "status")
+
+
+@query(
+    "E3_reference_faults",
+    q.with_book(*PLAIN, E3_SQL) + f"""SELECT account_id, CAST(perpetual_id AS BIGINT) AS perpetual_id, violation FROM (
+ SELECT account_id, perpetual_id, CASE account_id%23 WHEN 1 THEN 'other_block' WHEN 2 THEN 'other_block_hash' WHEN 3 THEN 'other_log' WHEN 4 THEN 'other_time' WHEN 5 THEN 'bad_status' WHEN 6 THEN 'negative_amount'
+   WHEN 9 THEN 'other_chain' END AS violation FROM pr WHERE perpetual_id=2 OR account_id%23 IN (1,2,3,4,9)
+ UNION ALL SELECT account_id, perpetual_id, 'closed_not_empty' FROM pr WHERE account_id%23=6 AND perpetual_id=2 AND status='closed'
+ UNION ALL SELECT account_id, perpetual_id, 'open_incomplete' FROM pr WHERE account_id%23=6 AND perpetual_id=2 AND status='open'
+ UNION ALL SELECT account_id, perpetual_id, 'open_incomplete' FROM pr WHERE account_id%23=10 AND status='open'
+ UNION ALL SELECT account_id, CASE WHEN perpetual_id=3 THEN 9 ELSE perpetual_id END, 'outside_scope' FROM pr WHERE account_id%23=7 AND perpetual_id=3
+ UNION ALL SELECT account_id, perpetual_id, 'incomplete_scope' FROM pr WHERE account_id%23=8 AND perpetual_id<>4
+ UNION ALL SELECT account_id, perpetual_id, 'incomplete_scope' FROM pr, (VALUES (1),(2)) t(i) WHERE account_id%23=11 AND (i=1 OR perpetual_id=1)
+ UNION ALL SELECT account_id, perpetual_id, 'repeated_position' FROM pr, (VALUES (1),(2)) t(i) WHERE account_id%23=11 AND perpetual_id=1) WHERE violation IS NOT NULL""",
+)
+def reference_faults(spark, sf):
+    """The references with faults of every kind planted by account."""
+    _, reference = _position_reference(spark, sf)
+    fault, second = F.col("account_id") % 23, F.col("perpetual_id") == 2
+    broken = reference.withColumns(
+        {
+            "as_of_block": F.when(fault == 1, F.col("as_of_block") - 1).otherwise(F.col("as_of_block")),
+            "as_of_block_hash": F.when(fault == 2, F.lit("0xother")).otherwise(F.col("as_of_block_hash")),
+            "as_of_log_index": F.when(fault == 3, F.lit(0)),
+            "as_of_timestamp_ms": F.when(fault == 4, F.col("as_of_timestamp_ms") + 1).otherwise(F.col("as_of_timestamp_ms")),
+            "status": F.when((fault == 5) & second, F.lit("paused")).otherwise(F.col("status")),
+            "lot_lns": F.when((fault == 6) & second, F.lit(-1)).otherwise(F.col("lot_lns")).cast("decimal(38,0)"),
+            "chain_id": F.when(fault == 9, F.col("chain_id") + 1).otherwise(F.col("chain_id")),
+            "side_name": F.when(fault != 10, F.col("side_name")),
+        }
+    )
+    moved = broken.withColumn("perpetual_id", F.when((fault == 7) & (F.col("perpetual_id") == 3), F.lit(9)).otherwise(F.col("perpetual_id")))
+    short = moved.where((fault != 8) | (F.col("perpetual_id") != 4))
+    twice = short.where((fault == 11) & (F.col("perpetual_id") == 1))
+    return evidence.position_reference_violations(short.unionByName(twice), CUT, SCOPED).select(*ident(), "violation")
 
 
 @query("J10_canonical_x_reference", q.with_book(*PLAIN, E3_SQL) + "SELECT field, CASE WHEN ok THEN 'matched' ELSE 'mismatch' END AS status, count(*) AS checks FROM pc GROUP BY 1,2")
 def canonical_x_reference(spark, sf):
-    rows, reference = _position_reference(spark, sf)
-    return evidence.position_reconcile(rows, reference).groupBy("field", "status").agg(F.count(F.lit(1)).alias("checks"))
+    return _position_checks(spark, sf).groupBy("field", "status").agg(F.count(F.lit(1)).alias("checks"))
 
 
 @query("A15_scorecard_rollup", q.with_book(*PLAIN, E3_SQL) + "SELECT account_id, CASE WHEN bool_or(NOT ok) THEN 'mismatch' ELSE 'matched' END AS status, count(*) AS checks, count(*) FILTER (WHERE ok) AS matched FROM pc GROUP BY 1")
 def scorecard_rollup(spark, sf):
-    rows, reference = _position_reference(spark, sf)
-    return evidence.rollup(evidence.position_reconcile(rows, reference), ["account_id"])
+    return evidence.rollup(_position_checks(spark, sf), ["account_id"])
 
 
-SCORE_SQL = f"""sc AS (SELECT account_id, perpetual_id, maint_u//{CNS_UNITS} AS mt, pnl_u//{CNS_UNITS} AS pp, uns//{CNS_UNITS} AS fu, dep FROM risk WHERE is_open),
+SCORE_SQL = f"""sc AS (SELECT account_id, perpetual_id, maint_u//{CNS_UNITS} AS mt, pnl_u//{CNS_UNITS} AS pp, uns//{CNS_UNITS} AS fu, dep, liq_u//(65536*CAST(10**(14-pd) AS HUGEINT)) AS lq FROM risk WHERE is_open),
 s2 AS (SELECT *, pp+fu AS tp, dep+pp+fu AS eq, dep+pp+fu-mt AS bu FROM sc)"""
 
 
@@ -711,10 +769,10 @@ def component_projection(spark, sf):
     q.with_book(*q.FULL_RISK, SCORE_SQL) + f"""SELECT {P}, field, CASE WHEN a IS NULL OR e IS NULL THEN 'unverified' WHEN a=e THEN 'matched' ELSE 'mismatch' END AS status FROM (
  SELECT account_id, perpetual_id, 'maintenance_cns' AS field, mt AS a, mt AS e FROM s2 UNION ALL SELECT account_id, perpetual_id, 'price_pnl_cns', pp, pp+CASE WHEN account_id%6=0 THEN 1 ELSE 0 END FROM s2
  UNION ALL SELECT account_id, perpetual_id, 'funding_cns', fu, fu FROM s2 UNION ALL SELECT account_id, perpetual_id, 'total_pnl_cns', tp, tp FROM s2
- UNION ALL SELECT account_id, perpetual_id, 'equity_cns', eq, eq FROM s2 UNION ALL SELECT account_id, perpetual_id, 'buffer_cns', bu, bu FROM s2)""",
+ UNION ALL SELECT account_id, perpetual_id, 'equity_cns', eq, eq FROM s2 UNION ALL SELECT account_id, perpetual_id, 'buffer_cns', bu, bu FROM s2 UNION ALL SELECT account_id, perpetual_id, 'liquidation_pns', lq, lq+CASE WHEN account_id%7=0 THEN 1 ELSE 0 END FROM s2)""",
 )
 def risk_scorecard(spark, sf):
-    """A reference in collateral units that differs in price profit for every sixth account."""
+    """A reference that differs in price profit for every sixth account and in the liquidation price for every seventh."""
     rows = positions(spark, sf)
     unit = F.lit(CNS_UNITS).cast("decimal(38,0)")
     reference = rows.where("is_open").withColumns(evidence.component_projection(CNS_UNITS)).select(
@@ -722,6 +780,7 @@ def risk_scorecard(spark, sf):
         (trunc_div(F.col("price_pnl_u"), unit) + F.when(F.col("account_id") % 6 == 0, F.lit(1)).otherwise(F.lit(0))).alias("price_pnl_cns"),
         F.col("projected_funding_cns").alias("funding_cns"), F.col("projected_pnl_cns").alias("total_pnl_cns"),
         F.col("projected_equity_cns").alias("equity_cns"), F.col("projected_buffer_cns").alias("buffer_cns"),
+        (evidence.liquidation_ticks() + F.when(F.col("account_id") % 7 == 0, F.lit(1)).otherwise(F.lit(0))).alias("liquidation_pns"),
     )
     return evidence.risk_scorecard(rows, reference, CNS_UNITS).select(*ident(), "field", "status")
 

@@ -38,6 +38,13 @@ def exploded(df: DataFrame, ids: list[str], rules: dict[str, Column]) -> DataFra
     return df.select(*ids, F.explode(codes(rules)).alias("violation"))
 
 
+def guarded(df: DataFrame, key: str, rules: dict[str, Column], message: str) -> DataFrame:
+    """The rows as they are; the job that reads a row with a broken rule fails and names it."""
+    found = codes(rules)
+    stop = F.raise_error(F.concat(F.lit(f"{message}: "), F.array_join(found, ", "), F.lit(f" at {key} "), F.coalesce(F.col(key).cast("string"), F.lit("none"))))
+    return df.withColumn(key, F.when(F.size(found) == 0, F.col(key)).otherwise(stop))
+
+
 def quarantine(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
     marked = df.withColumn("violations", codes(rules))
     clean = F.size("violations") == 0

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideledger.errors import DataQualityError
-from tideledger.functions.exact import trunc_div
+from tideledger.functions.exact import Q16, UNIT_DIGITS, dec, pow10, trunc_div
 from tideledger.functions.keys import digest_json, digest_text
-from tideledger.operators.checks import exploded, with_event_id
+from tideledger.operators.checks import exploded, guarded, with_event_id
 from tideledger.operators.ledger import sequence
 from tideledger.params import AsOf
 
@@ -89,56 +89,89 @@ def compare_long(joined: DataFrame, keys: list[str], pairs: dict[str, tuple[Colu
     return joined.select(*keys, F.explode(F.array(*checks)).alias("c")).select(*keys, "c.*")
 
 
-def account_reconcile(wallets: DataFrame, reference: DataFrame) -> DataFrame:
-    """Four account totals against a reference taken at the same cutoff."""
-    fields = ["realized_pnl_u", "realized_funding_u", "fees_u", "free_balance_u"]
-    right = reference.select("account_id", *[F.col(c).alias(f"ref_{c}") for c in fields])
-    joined = right.join(wallets, "account_id", "left")
-    return compare_long(joined, ["account_id"], {c: (F.col(c), F.col(f"ref_{c}")) for c in fields})
+def cutoff_rules(as_of: AsOf) -> dict[str, Column]:
+    """A reference is taken at the very point of the snapshot: nothing of it may differ."""
+    return {
+        "other_chain": ~F.col("chain_id").eqNullSafe(as_of.chain_id),
+        "other_block": ~F.col("as_of_block").eqNullSafe(as_of.block_number),
+        "other_block_hash": ~F.col("as_of_block_hash").eqNullSafe(as_of.block_hash),
+        "other_log": ~F.col("as_of_log_index").eqNullSafe(F.lit(as_of.log_index).cast("int")),
+        "other_time": ~F.col("as_of_timestamp_ms").eqNullSafe(as_of.timestamp_ms),
+    }
 
 
 def reference_cutoff_violations(reference: DataFrame, as_of: AsOf) -> DataFrame:
     """Reference rows whose cutoff is not identical to the snapshot's."""
-    return exploded(
-        reference,
-        ["account_id"],
-        {
-            "other_chain": ~F.col("chain_id").eqNullSafe(as_of.chain_id),
-            "other_block": ~F.col("as_of_block").eqNullSafe(as_of.block_number),
-            "other_block_hash": ~F.col("as_of_block_hash").eqNullSafe(as_of.block_hash),
-            "other_log": ~F.col("as_of_log_index").eqNullSafe(F.lit(as_of.log_index).cast("int")),
-            "other_time": ~F.col("as_of_timestamp_ms").eqNullSafe(as_of.timestamp_ms),
-        },
-    )
+    return exploded(reference, ["account_id"], cutoff_rules(as_of))
+
+
+def _counted(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    return rows.withColumn(name, F.count(F.lit(1)).over(Window.partitionBy(*keys)))
 
 
-def position_reference_violations(reference: DataFrame) -> DataFrame:
-    """Shape errors of reference positions (one row per account and scoped market)."""
+def account_reconcile(wallets: DataFrame, reference: DataFrame, as_of: AsOf) -> DataFrame:
+    """Four account totals against a reference taken at the same cutoff.
+
+    Before any figure is compared the job fails on a reference of another cutoff, two of one
+    account, and an account that the ledger does not hold; a missing figure is `unverified`.
+    """
+    fields = ["realized_pnl_u", "realized_funding_u", "fees_u", "free_balance_u"]
+    cut = ["chain_id", "as_of_block", "as_of_block_hash", "as_of_log_index", "as_of_timestamp_ms"]
+    right = _counted(reference, ["account_id"], "times").select("account_id", "times", *cut, *[F.col(c).alias(f"ref_{c}") for c in fields])
+    mine = wallets.select("account_id", *fields, F.lit(True).alias("known"))
+    rules = {**cutoff_rules(as_of), "repeated_account": F.col("times") > 1, "unknown_account": F.col("known").isNull()}
+    joined = guarded(right.join(mine, "account_id", "left"), "account_id", rules, "account reference")
+    return compare_long(joined, ["account_id"], {c: (F.col(c), F.col(f"ref_{c}")) for c in fields})
+
+
+def _shape_rules() -> dict[str, Column]:
     closed, is_open = F.col("status") == "closed", F.col("status") == "open"
-    bad = exploded(
-        reference,
-        ["account_id", "perpetual_id"],
-        {
-            "bad_status": ~F.coalesce(F.col("status").isin("open", "closed"), F.lit(False)),
-            "negative_amount": (F.col("lot_lns") < 0) | (F.col("deposit_cns") < 0),
-            "closed_not_empty": closed
-            & ((F.col("lot_lns") != 0) | (F.col("deposit_cns") != 0) | F.col("side_name").isNotNull() | F.col("entry_q16").isNotNull()),
-            "open_incomplete": is_open
-            & (
-                (F.col("lot_lns") <= 0)
-                | ~F.coalesce(F.col("side_name").isin("long", "short"), F.lit(False))
-                | ~F.coalesce(F.col("entry_q16") > 0, F.lit(False))
-            ),
-        },
-    )
-    repeated = reference.groupBy("account_id", "perpetual_id").count().where("count > 1")
-    return bad.unionByName(repeated.select("account_id", "perpetual_id", F.lit("repeated_position").alias("violation")))
+    return {
+        "bad_status": ~F.coalesce(F.col("status").isin("open", "closed"), F.lit(False)),
+        "missing_amount": F.col("lot_lns").isNull() | F.col("deposit_cns").isNull(),
+        "negative_amount": (F.col("lot_lns") < 0) | (F.col("deposit_cns") < 0),
+        "closed_not_empty": closed
+        & ((F.col("lot_lns") != 0) | (F.col("deposit_cns") != 0) | F.col("side_name").isNotNull() | F.col("entry_q16").isNotNull()),
+        "open_incomplete": is_open
+        & (
+            (F.col("lot_lns") <= 0)
+            | ~F.coalesce(F.col("side_name").isin("long", "short"), F.lit(False))
+            | ~F.coalesce(F.col("entry_q16") > 0, F.lit(False))
+        ),
+    }
+
+
+def position_reference_rules(as_of: AsOf, market_ids: tuple[int, ...]) -> dict[str, Column]:
+    """Rules over reference positions with `times` (rows of one position) and `markets` (of one account)."""
+    if as_of.log_index is not None:
+        raise DataQualityError("positions are compared at the end of a block only")
+    if not market_ids or len(set(market_ids)) != len(market_ids) or min(market_ids) <= 0:
+        raise DataQualityError("the markets of a position reference are distinct positive ids, one at least")
+    return {
+        **cutoff_rules(as_of),
+        **_shape_rules(),
+        "repeated_position": F.col("times") > 1,
+        "outside_scope": ~F.coalesce(F.col("perpetual_id").isin(*market_ids), F.lit(False)),
+        "incomplete_scope": F.col("markets") != len(market_ids),
+    }
+
 
+def _scoped(reference: DataFrame) -> DataFrame:
+    return _counted(_counted(reference, ["account_id"], "markets"), ["account_id", "perpetual_id"], "times")
 
-def position_reconcile(positions: DataFrame, reference: DataFrame) -> DataFrame:
-    """Status, size, deposit (and side, entry when open) per scoped position.
 
-    A position that the ledger does not know counts as closed and empty.
+def position_reference_violations(reference: DataFrame, as_of: AsOf, market_ids: tuple[int, ...]) -> DataFrame:
+    """Everything wrong with reference positions, which name each market of the scope once
+    for each account, open or closed."""
+    return exploded(_scoped(reference), ["account_id", "perpetual_id"], position_reference_rules(as_of, market_ids))
+
+
+def position_reconcile(positions: DataFrame, reference: DataFrame, as_of: AsOf, market_ids: tuple[int, ...]) -> DataFrame:
+    """Status, size, deposit (and side, entry when open) per position of the scope.
+
+    A position that the ledger does not know counts as closed and empty.  A reference that
+    breaks a rule of `position_reference_rules` fails the job; ledger positions outside the
+    scope are not compared, `excluded_positions` lists them.
     """
     keys = ["account_id", "perpetual_id"]
     mine = positions.select(
@@ -146,7 +179,7 @@ def position_reconcile(positions: DataFrame, reference: DataFrame) -> DataFrame:
         F.when(F.col("status") == "open", F.col("side_name")).alias("c_side"),
         F.when(F.col("status") == "open", F.col("entry_q16")).alias("c_entry"),
     )
-    joined = reference.join(mine, keys, "left")
+    joined = guarded(_scoped(reference).join(mine, keys, "left"), "account_id", position_reference_rules(as_of, market_ids), "position reference")
     zero = F.lit(0).cast("decimal(38,0)")
     status = F.coalesce("c_status", F.lit("closed"))
 
@@ -171,6 +204,12 @@ def position_reconcile(positions: DataFrame, reference: DataFrame) -> DataFrame:
     return joined.select(*keys, F.explode(checks).alias("c")).select(*keys, "c.*")
 
 
+def excluded_positions(positions: DataFrame, reference: DataFrame, market_ids: tuple[int, ...]) -> DataFrame:
+    """Ledger positions of the referenced accounts in markets outside the scope."""
+    outside = positions.where(~F.col("perpetual_id").isin(*market_ids))
+    return outside.join(reference.select("account_id"), "account_id", "left_semi").select("account_id", "perpetual_id", "status")
+
+
 def truncated_equal(actual: Column, expected: Column, unit) -> Column:
     """Two unit amounts are equal after truncation to a coarser unit."""
     return trunc_div(actual, unit) == trunc_div(expected, unit)
@@ -190,10 +229,20 @@ def component_projection(cns_unit: int) -> dict[str, Column]:
     }
 
 
+def liquidation_ticks() -> Column:
+    """The liquidation price truncated to whole price ticks of its market."""
+    return trunc_div(F.col("liquidation_u"), pow10(F.lit(UNIT_DIGITS) - F.col("price_decimals")) * dec(Q16))
+
+
 def risk_scorecard(positions: DataFrame, reference: DataFrame, cns_unit: int) -> DataFrame:
-    """Risk facts of open positions against a reference in collateral units."""
+    """Risk facts of open positions against a reference in collateral units, and the
+    liquidation price in price ticks.
+
+    Figures unknown to either side are `unverified`.  A reference of a position that is not
+    open in the ledger, or two of one position, fail the job.
+    """
     keys = ["account_id", "perpetual_id"]
-    fields = ["maintenance_cns", "price_pnl_cns", "funding_cns", "total_pnl_cns", "equity_cns", "buffer_cns"]
+    fields = ["maintenance_cns", "price_pnl_cns", "funding_cns", "total_pnl_cns", "equity_cns", "buffer_cns", "liquidation_pns"]
     unit = F.lit(cns_unit).cast("decimal(38,0)")
     mine = positions.where("is_open").withColumns(component_projection(cns_unit)).select(
         *keys,
@@ -203,9 +252,13 @@ def risk_scorecard(positions: DataFrame, reference: DataFrame, cns_unit: int) ->
         F.col("projected_pnl_cns").alias("total_pnl_cns"),
         F.col("projected_equity_cns").alias("equity_cns"),
         F.col("projected_buffer_cns").alias("buffer_cns"),
+        liquidation_ticks().alias("liquidation_pns"),
+        F.lit(True).alias("known"),
     )
-    right = reference.select(*keys, *[F.col(c).alias(f"ref_{c}") for c in fields])
-    return compare_long(right.join(mine, keys, "left"), keys, {c: (F.col(c), F.col(f"ref_{c}")) for c in fields})
+    right = _counted(reference, keys, "times").select(*keys, "times", *[F.col(c).alias(f"ref_{c}") for c in fields])
+    rules = {"repeated_position": F.col("times") > 1, "not_open": F.col("known").isNull()}
+    joined = guarded(right.join(mine, keys, "left"), "account_id", rules, "risk reference")
+    return compare_long(joined, keys, {c: (F.col(c), F.col(f"ref_{c}")) for c in fields})
 
 
 def market_scorecard(marks: DataFrame, reference: DataFrame, as_of: AsOf) -> DataFrame:
