@@ -152,12 +152,15 @@ judged AS (SELECT *, CASE WHEN foreign_contract THEN 'contract-mismatch' WHEN un
   WHEN first_kind='account_created' THEN 'account-birth' ELSE 'incomplete-history' END AS basis FROM acc)"""
 
 
-def sourced_accounts(spark, sf):
-    """Eligibility over the book as an index would deliver it, with faults in some accounts."""
+def sourced_events(spark, sf):
+    """The book as an index would deliver it, with faults in some accounts."""
     given = F.struct(*[F.expr(PROFILE if n == "ingestion_profile" else "cast(null as string)").alias(n) for n in PROVENANCE.names])
     contract = F.when(F.expr(FOREIGN), "0xother").otherwise(F.col("contract_address"))
-    events = b.book(spark, sf).withColumns({"provenance": given, "contract_address": contract})
-    return accounting.replay_eligibility(events, CUT, b.BOUNDED, b.REGISTRY, indexed=True)
+    return b.book(spark, sf).withColumns({"provenance": given, "contract_address": contract})
+
+
+def sourced_accounts(spark, sf):
+    return accounting.replay_eligibility(sourced_events(spark, sf), CUT, b.BOUNDED, b.REGISTRY, indexed=True)
 
 
 @query("W10_replay_eligibility", q.with_book(SOURCED_SQL) + "SELECT account_id, basis='account-birth' AS eligible, basis, first_block FROM judged")
@@ -607,6 +610,50 @@ def historical_snapshot(spark, sf):
     )
 
 
+WATCHED_SQL = """seen AS (SELECT DISTINCT account_id FROM book WHERE kind='position_opened'),
+held AS (SELECT DISTINCT perpetual_id FROM st JOIN judged USING (account_id) WHERE is_open AND basis='account-birth' AND profile='risk-hotpath-v3')"""
+
+
+def watched_facts(spark, sf):
+    """Everybody who ever opened a position is watched."""
+    events = sourced_events(spark, sf)
+    return snapshot.watched(events, events.where(kind_is("position_opened")).select("account_id"), b.REGISTRY, CUT, b.BOUNDED)
+
+
+@query(
+    "K8_watchlist_wallets",
+    q.with_book(LEDGER, q.marks(), SOURCED_SQL, WATCHED_SQL, f"""held_by AS (SELECT account_id, sum(pnl) AS pnl, sum(fees) AS fees, count(*) FILTER (WHERE is_open) AS n_open,
+ bool_and(NOT is_open OR COALESCE({CUT.timestamp_ms}-c.mark_ms<60000,false)) AS all_marked FROM st LEFT JOIN cmark c USING (perpetual_id) GROUP BY 1),
+bal AS (SELECT account_id, COALESCE(arg_max(balance_cns,{SEQ}) FILTER (WHERE balance_cns IS NOT NULL),0) AS balance FROM book WHERE account_id IS NOT NULL AND block_number<={BLOCK} GROUP BY 1)""")
+    + f"""SELECT account_id, basis, {big("CASE WHEN ok THEN pnl END", 'realized_pnl')}, {big("CASE WHEN ok THEN fees END", 'fees')}, {big("CASE WHEN ok THEN balance END", 'free_balance')},
+ CASE WHEN ok THEN CASE WHEN profile='risk-hotpath-v3' THEN 'canonical-v3' ELSE 'unavailable-legacy-profile' END END AS market_input_profile,
+ CASE WHEN NOT ok THEN 'incomplete-history' WHEN profile<>'risk-hotpath-v3' OR NOT all_marked THEN 'marks-unavailable' WHEN n_open>0 THEN 'funding-checkpoint-unverified' ELSE 'canonical-funding-covered' END AS quality
+FROM (SELECT account_id, basis, basis='account-birth' AS ok, profile, COALESCE(pnl,0) AS pnl, COALESCE(fees,0) AS fees, balance, COALESCE(all_marked,true) AS all_marked, COALESCE(n_open,0) AS n_open
+ FROM judged JOIN seen USING (account_id) JOIN bal USING (account_id) LEFT JOIN held_by USING (account_id))""",
+)
+def watchlist_wallets(spark, sf):
+    """Wallets of a watchlist with the profile of their inputs; none but replayable accounts have figures."""
+    rows = watched_facts(spark, sf)["wallets"]
+    return rows.select(
+        "account_id", "basis", cns("realized_pnl_u").alias("realized_pnl"), cns("fees_u").alias("fees"), cns("free_balance_u").alias("free_balance"),
+        "market_input_profile", "quality",
+    )
+
+
+@query(
+    "K8_watchlist_inputs",
+    q.with_book(LEDGER, q.marks(), SOURCED_SQL, WATCHED_SQL)
+    + f"""SELECT kind, CAST(perpetual_id AS BIGINT) AS perpetual_id, count(*) AS events, arg_max(event_id,{SEQ}) AS last_event_id FROM book WHERE kind IN ('market_funding','funding_scale_updated') AND block_number<={BLOCK} AND perpetual_id IN (SELECT perpetual_id FROM held) GROUP BY 1,2
+UNION ALL SELECT 'mark_updated', CAST(perpetual_id AS BIGINT), 1, mark_event_id FROM cmark WHERE perpetual_id IN (SELECT perpetual_id FROM held)""",
+)
+def watchlist_inputs(spark, sf):
+    """Market inputs that a watchlist reads: funding of the held markets and one mark of each."""
+    rows = watched_facts(spark, sf)["inputs"]
+    return rows.groupBy("kind", F.col("perpetual_id").cast("long").alias("perpetual_id")).agg(
+        F.count(F.lit(1)).alias("events"), F.max_by("event_id", ledger.sequence()).alias("last_event_id")
+    )
+
+
 STATE_TEXT = ["account_id", "perpetual_id", "status", "lot_lns", "deposit_cns"]
 
 

@@ -20,7 +20,7 @@ from tideledger.operators.checks import mark_is_fresh, mark_violations, require_
 from tideledger.operators.funding import funded_history, funded_state
 from tideledger.operators.ledger import POSITION, account_state, latest_marks, position_state
 from tideledger.params import AsOf, Coverage, FundingScope, Registry
-from tideledger.schema import LONG, REPLAY_PROFILES
+from tideledger.schema import LONG, MARKET_PROFILE, REPLAY_PROFILES
 
 
 def entry_q16(entry="entry_pns", residue="entry_residue", side="side") -> Column:
@@ -353,3 +353,25 @@ def wallet_quality(wallet_rows: DataFrame, eligibility: DataFrame) -> DataFrame:
         .otherwise("canonical-funding-covered")
     )
     return joined.withColumn("quality", quality)
+
+
+def has_market_inputs() -> Column:
+    """Every event of the account comes from the profile that also delivers market inputs."""
+    whole = (F.col("lowest_profile") == MARKET_PROFILE) & (F.col("highest_profile") == MARKET_PROFILE)
+    return F.coalesce(whole & ~F.col("unprofiled"), F.lit(False))
+
+
+def watched_wallets(wallet_rows: DataFrame, eligibility: DataFrame) -> DataFrame:
+    """Wallets of a watchlist with their input profile; an account that cannot be replayed has no figures."""
+    facts = eligibility.select("account_id", "eligible", "basis", has_market_inputs().alias("market_inputs"))
+    joined = wallet_rows.join(facts, "account_id", "left")
+    good = F.coalesce(F.col("eligible"), F.lit(False))
+    figures = ["owner", *[c for c in wallet_rows.columns if c.endswith("_u")]]
+    quality = (
+        F.when(~good, "incomplete-history")
+        .when(~F.col("market_inputs") | ~F.col("all_marked"), "marks-unavailable")
+        .when(~F.col("all_funded"), "funding-checkpoint-unverified")
+        .otherwise("canonical-funding-covered")
+    )
+    profile = F.when(good, F.when(F.col("market_inputs"), "canonical-v3").otherwise("unavailable-legacy-profile"))
+    return joined.withColumns({c: F.when(good, F.col(c)) for c in figures} | {"quality": quality, "market_input_profile": profile}).drop("market_inputs")

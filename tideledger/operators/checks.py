@@ -46,7 +46,8 @@ def guarded(df: DataFrame, key: str, rules: dict[str, Column], message: str) ->
 
 
 def quarantine(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
-    marked = df.withColumn("violations", codes(rules))
+    # A filter is not pushed below a generator, so the rules are evaluated once a row.
+    marked = df.withColumn("violations", F.explode(F.array(codes(rules))))
     clean = F.size("violations") == 0
     return marked.where(clean).drop("violations"), marked.where(~clean)
 

@@ -12,6 +12,7 @@ from tideledger.operators.checks import require_clean, with_event_id
 from tideledger.operators.ledger import kind_is
 from tideledger.params import AsOf, Coverage, FundingScope, Registry
 from tideledger.plans import scans
+from tideledger.plans.kept import written
 
 
 def protocol_view(totals: DataFrame, states: DataFrame) -> DataFrame:
@@ -144,28 +145,61 @@ def build_snapshot(
     return {name: t.withColumn("snapshot_id", F.lit(key)) for name, t in tables.items()}
 
 
+def watch_inputs(events: DataFrame, held: DataFrame, as_of: AsOf) -> DataFrame:
+    """Inputs of the held markets: all their funding events, and of their marks the latest alone."""
+    kept = events.where(as_of.includes()).join(held, "perpetual_id", "left_semi").select(*events.columns)
+    funded = kept.where(kind_is("market_funding", "funding_scale_updated"))
+    newest = kept.where(kind_is("mark_updated")).groupBy("perpetual_id").agg(F.max_by(F.struct(*events.columns), ledger.sequence()).alias("newest"))
+    return funded.unionByName(newest.select("newest.*"))
+
+
+def watched(
+    events: DataFrame, accounts: DataFrame, registry: Registry, as_of: AsOf, coverage: Coverage, scope: FundingScope | None = None
+) -> dict[str, DataFrame]:
+    """Facts of any number of accounts (column account_id) from their own events and the inputs
+    of the markets that they hold.
+
+    Accounts that cannot be replayed have a wallet without figures and no positions.  Market
+    inputs, and so prices and funding, count for accounts of the profile that delivers them.
+    """
+    kept = with_event_id(events.where(as_of.includes()))
+    mine = kept.join(accounts.select("account_id").distinct(), "account_id", "left_semi").select(*kept.columns)
+    eligible = written(accounting.replay_eligibility(mine, as_of, coverage, registry), "watched")
+    good = eligible.where("eligible")
+
+    def of(chosen: DataFrame) -> DataFrame:
+        return mine.join(chosen.select("account_id"), "account_id", "left_semi").select(*kept.columns)
+
+    covered, legacy = of(good.where(accounting.has_market_inputs())), of(good.where(~accounting.has_market_inputs()))
+    held = ledger.position_state(covered, as_of).where("is_open").select("perpetual_id").distinct()
+    inputs = watch_inputs(kept, held, as_of)
+    priced = accounting.position_risk(covered.unionByName(inputs), registry, as_of, scope)
+    positions = priced.unionByName(accounting.position_risk(legacy, registry, as_of), allowMissingColumns=True)  # columns of the funding scope
+    wallets = accounting.wallets(mine, positions, registry, as_of)
+    return {
+        "mine": mine, "inputs": inputs, "eligible": eligible, "positions": positions,
+        "wallets": accounting.watched_wallets(wallets, eligible),
+    }
+
+
 def watchlist_snapshot(
     events: DataFrame, accounts: list[int], registry: Registry, as_of: AsOf, coverage: Coverage, scope: FundingScope | None = None
 ) -> dict[str, DataFrame]:
     """One job for all accounts of a watchlist at a shared cutoff, after the same checks as a
-    full snapshot; its events, marks and hash have no limit (pairs need 20 accounts at most)."""
+    full snapshot; its events and hash have no limit (pairs need 20 accounts at most)."""
     if not accounts or len(set(accounts)) != len(accounts):
         raise DataQualityError("a watchlist holds distinct accounts, one at least")
-    spark = events.sparkSession
-    watched = spark.createDataFrame([(a,) for a in accounts], "account_id long")
-    seen = visible_events(events, watched, as_of)
-    mine = seen.join(F.broadcast(watched), "account_id", "left_semi").unionByName(seen.where("account_id is null"), allowMissingColumns=True)
-    require_sound(seen, registry, as_of, scope, held=mine)
-    positions = accounting.position_risk(mine, registry, as_of, scope)
-    eligible = accounting.replay_eligibility(mine, as_of, coverage, registry)
-    wallets = accounting.wallets(mine, positions, registry, as_of)
-    report = signals.signal_report(positions, eligible, None, None, as_of)
+    listed = events.sparkSession.createDataFrame([(a,) for a in accounts], "account_id long")
+    facts = watched(events, listed, registry, as_of, coverage, scope)
+    seen = scans.union_dedupe([facts["mine"], facts["inputs"]])
+    require_sound(seen, registry, as_of, scope, held=facts["mine"])
+    positions, eligible = facts["positions"], facts["eligible"]
     return {
-        "wallets": accounting.wallet_quality(wallets, eligible),
+        "wallets": facts["wallets"],
         "positions": positions,
         "events": scans.event_view(seen),
-        "signals": report,
-        "overlap": cohort.exposure_overlap(cohort.exposures(positions, eligible), watched),
+        "signals": signals.signal_report(positions, eligible, None, None, as_of),
+        "overlap": cohort.exposure_overlap(cohort.exposures(positions, eligible), listed),
         "manifest": evidence.ids_hash_tree(seen, as_of),
     }
 

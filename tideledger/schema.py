@@ -261,3 +261,5 @@ PROVENANCE_TUPLES = [
 ]
 MARKET_SCHEMA_VERSION = "canonical-event-v5"
 REPLAY_PROFILES = ["risk-hotpath-v2", "risk-hotpath-v3"]
+#: The ingestion profile whose events include every market input.
+MARKET_PROFILE = "risk-hotpath-v3"

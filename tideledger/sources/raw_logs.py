@@ -40,6 +40,14 @@ def classify(raw: DataFrame) -> DataFrame:
     return raw.join(F.broadcast(rule_frame(raw.sparkSession)), "abiEventName", "left")
 
 
+def parsed_rows(raw: DataFrame) -> DataFrame:
+    """Raw rows with their rule and the payload as a map (null where it is no object).
+
+    The generator keeps the many rules that read the map from parsing the text anew each.
+    """
+    return classify(raw).withColumn("payload", F.explode(F.array(F.from_json("payloadJson", MAP))))
+
+
 def _column_sources() -> dict[str, dict[str, list[str]]]:
     """canonical column -> payload field -> ABI names that carry it there."""
     found: dict[str, dict[str, list[str]]] = {}
@@ -113,7 +121,7 @@ def payload_rules() -> dict[str, Column]:
 
 def project_raw_logs(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(canonical events, violations). Wire sides 0 and 1 become long and short."""
-    parsed = classify(raw).withColumn("payload", F.from_json("payloadJson", MAP))
+    parsed = parsed_rows(raw)
     rules = {
         "unknown_abi_event": F.col("rule_kind").isNull(),
         "kind_differs": F.upper("rule_kind") != F.col("kind"),
