@@ -152,3 +152,35 @@ def test_words_of_latin_letters_are_encoded_as_the_library_does():
         ids, sizes = words.encode(piece)
         for own, text in zip(np.split(ids, np.cumsum(sizes)[:-1]), texts[piece.first :], strict=False):
             assert own.tolist() == words.whole(text).tolist(), text
+
+
+def test_merkle_cuts_lines_without_blanks():
+    rng = np.random.default_rng(5)
+    text = "".join(chr(0x4E00 + i) for i in rng.integers(0, 3000, 16_000))
+    other = "".join(chr(0x4E00 + i) for i in rng.integers(0, 3000, 16_000))
+    edited, inserted = text[:8000] + other[:8000], text[:5000] + other[:3] + text[5000:]
+    a, b, c, d = merkle.trees(pa.array([text, edited, inserted, other]))
+    assert 0.45 < merkle.likeness(a, b) < 0.55 and merkle.likeness(a, c) > 0.98 and merkle.likeness(a, d) < 0.02
+    assert 500 < len(a.segments) < 2000 and int(a.spans.sum()) == len(text.encode())
+    ((start, end),) = merkle.changes(a, c)
+    assert start <= len(text[:5000].encode()) < end
+
+
+def test_merkle_runs_of_one_letter_are_cut():
+    run, longer, pair = merkle.trees(pa.array(["a" * 10_000, "a" * 9_000 + "b" * 1_000, "ab" * 5_000]))
+    assert 10_000 // merkle.LONG_WORD <= len(run.segments) <= 10_000 // merkle.LONG_WORD + 2
+    assert 0.8 < merkle.likeness(run, longer) < 1 and len(pair.segments) <= 5_001
+
+
+def test_merkle_roots_of_texts_with_equal_polynomial_hashes():
+    first, second = "a", "b"
+    for _ in range(11):
+        first, second = first + second, second + first
+    a, b = merkle.trees(pa.array([first, second]))
+    assert len(first) == 2048 and a.root != b.root  # the same segments in another order, so their likeness is 1
+
+
+def test_merkle_trees_do_not_depend_on_neighbours():
+    texts = ["", "short one", "x" * 500, "ein Wort", "\u6f22\u5b57" * 300 + " end\nnext", None, "tail"]
+    alone = [next(merkle.trees(pa.array([t], pa.large_string()))).text() for t in texts]
+    assert alone == [t.text() for t in merkle.trees(pa.array(texts, pa.large_string()))]

@@ -1,15 +1,20 @@
 """Document fingerprints: a Merkle tree over sections, paragraphs and short segments.
 
 A text is cut at line breaks into paragraphs and inside them, after words chosen by their
-hash (and at every eighth word of a run of one word), into segments of about eight words; paragraphs form sections that end after a paragraph
-chosen by its digest.  Cuts depend on nearby text only, so an edit changes the nodes on its
-own branch.  A leaf hashes the bytes of its segment, an inner node the digests below it, the
-root those of the sections and the length.
+hash (and at every eighth word of a run of one word), into segments of about eight words;
+a word of more than 32 code points (scripts without blanks, encoded data) is also cut inside,
+before code points chosen by the two before them, and every 32 where none is chosen for long.
+Paragraphs form sections that end after a paragraph chosen by its digest.  Cuts depend on
+nearby text only, so an edit changes the nodes on its own branch.  A leaf is the BLAKE2b
+digest (16 bytes) of its segment, an inner node that of the digests below it, the root that of
+the sections and the length.
 
 The fingerprint holds all levels: root '.' sections '.' paragraphs '.' segments, in hex;
-an inner node is 16 digits of its digest and 8 of the number of nodes below it.
-Equal roots mean equal texts; `likeness` descends only where digests differ, and gives the
-share of segments that both trees hold.  `changes` names the byte spans of differing branches.
+an inner node is the first 16 digits of its digest and 8 of the number of nodes below it, a
+segment the first 8 digits.
+Equal roots mean equal texts, as the root is built from whole digests; `likeness` descends
+only where digests differ, and gives the share of segments that both trees hold.  `changes`
+names the byte spans of differing branches.
 
 Defined results: null counts as the empty text, which has a root and no nodes; blank texts
 are one segment; rows of one id are ordered by a hash of their texts, equal rows in any
@@ -30,11 +35,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideledger.llm.shared import bare, id_back, id_of, small_batches
-from tideledger.llm.words import SOLID, Words, pieces, word_hashes, words
+from tideledger.llm.words import SOLID, Words, mix, pieces, word_hashes, words
 
 SEGMENT_MASK = 7
 SECTION_MASK = 7
 RUN_STEP = 8
+LONG_WORD = 32  # code points
+LEAF, NODE = 16, 8  # bytes of a digest, and those of it that the fingerprint holds
+POINT_MASK = 15
+PART_BYTES = 128 << 20  # of text in a range of ids
 _U = np.uint64
 
 
@@ -75,6 +84,45 @@ def _run_cuts(hashes: np.ndarray, found: Words) -> np.ndarray:
     return cut
 
 
+def _inner_cuts(data: np.ndarray, found: Words) -> np.ndarray:
+    """Byte places inside long words where a segment starts.
+
+    A code point is chosen by a hash of the two before it, unless the one before was chosen by
+    the same hash (a run of one letter); a stretch of more than four times LONG_WORD code
+    points without a chosen one is cut at every LONG_WORD-th.
+    """
+    if not (found.ends - found.starts > LONG_WORD).any():
+        return np.zeros(0, np.int64)
+    points = np.flatnonzero((data & 0xC0) != 0x80)
+    first, last = np.searchsorted(points, found.starts), np.searchsorted(points, found.ends)
+    long = last - first > LONG_WORD
+    first, last = first[long], last[long]
+    if not len(first):
+        return np.zeros(0, np.int64)
+    sizes = last - first
+    own = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    place = np.arange(sizes.sum()) - own  # of each code point in its word
+    at = points[np.repeat(first, sizes) + place]
+    value = np.zeros(len(at), _U)
+    after = np.append(points, len(data))[np.repeat(first, sizes) + place + 1]
+    for k in range(4):
+        byte = at + k
+        value = (value << _U(8)) | np.where(byte < after, data[np.minimum(byte, len(data) - 1)], 0).astype(_U)
+    pair = np.zeros(len(at), _U)
+    pair[2:] = mix(value[:-2] * _U(0x1_0000_0001) + mix(value[1:-1]))
+    chosen = (place >= 2) & ((pair & _U(POINT_MASK)) == 0)
+    again = np.zeros(len(at), bool)
+    again[1:] = chosen[1:] & (pair[1:] == pair[:-1]) & (place[1:] >= 3)
+    chosen &= ~again
+    starts = chosen | (place == 0)
+    stretch = np.cumsum(starts) - 1
+    heads = np.flatnonzero(starts)
+    inside = np.arange(len(at)) - heads[stretch]
+    length = np.diff(np.append(heads, len(at)))[stretch]
+    chosen |= (length > 4 * LONG_WORD) & (inside > 0) & (inside % LONG_WORD == 0)
+    return at[chosen]
+
+
 def trees(texts: pa.Array) -> Iterator[Tree]:
     for piece in pieces(texts):
         found = words(piece, SOLID)
@@ -87,27 +135,30 @@ def trees(texts: pa.Array) -> Iterator[Tree]:
         paragraph = lines[found.starts[later]] > lines[found.ends[later - 1]]
         cut = paragraph | ((hashes[later - 1] & _U(SEGMENT_MASK)) == 0) | _run_cuts(hashes, found)[later]
         rows = piece.bounds[:-1][np.diff(piece.bounds) > 0]
-        starts = np.concatenate((rows, found.starts[later[cut]]))
-        heads = np.concatenate((np.ones(len(rows), bool), paragraph[cut]))
+        inner = _inner_cuts(piece.data, found)
+        starts = np.concatenate((rows, found.starts[later[cut]], inner))
+        heads = np.concatenate((np.ones(len(rows), bool), paragraph[cut], np.zeros(len(inner), bool)))
         order = np.argsort(starts, kind="stable")
         starts, heads = starts[order], heads[order]
         ends = np.append(starts[1:], len(piece.data)) if len(starts) else starts
-        leaves = word_hashes(piece, Words(starts, ends, starts), False)
-        short = (leaves >> _U(32)).astype(np.uint32)
+        raw = piece.data.tobytes()
+        leaves = b"".join([_digest(raw[i:j], LEAF) for i, j in zip(starts.tolist(), ends.tolist(), strict=True)])
+        short = np.frombuffer(leaves, ">u4")[:: LEAF // 4].astype(np.uint32)
         first = np.searchsorted(starts, piece.bounds)
         for r in range(piece.rows):
             a, b = int(first[r]), int(first[r + 1])
             at = [*(np.flatnonzero(heads[a:b]) + a).tolist(), b]
-            raw = leaves[a:b].tobytes()
-            paragraphs = [(_digest(raw[8 * (i - a) : 8 * (j - a)], 8), j - i) for i, j in zip(at, at[1:], strict=False)]
-            sections, held = [], []
-            for k, (digest, _) in enumerate(paragraphs):
+            whole = [_digest(leaves[LEAF * i : LEAF * j], LEAF) for i, j in zip(at, at[1:], strict=False)]
+            paragraphs = [(d[:NODE], j - i) for d, i, j in zip(whole, at, at[1:], strict=False)]
+            sections, held, above = [], [], []
+            for k, digest in enumerate(whole):
                 held.append(digest)
-                if digest[7] & SECTION_MASK == 0 or k == len(paragraphs) - 1:
-                    sections.append((_digest(b"".join(held), 8), len(held)))
+                if digest[7] & SECTION_MASK == 0 or k == len(whole) - 1:
+                    above.append(_digest(b"".join(held), LEAF))
+                    sections.append((above[-1][:NODE], len(held)))
                     held = []
             size = int(piece.bounds[r + 1] - piece.bounds[r])
-            root = _digest(b"".join(d for d, _ in sections) + size.to_bytes(8, "little"), 16).hex()
+            root = _digest(b"".join(above) + size.to_bytes(8, "little"), LEAF).hex()
             yield Tree(root, sections, paragraphs, short[a:b], (ends - starts)[a:b])
 
 
@@ -184,12 +235,13 @@ def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Rows (part, late, doc, home, text), sorted inside their part, where each home row is
     followed by its successor: the next document, or for the last one the first.
 
-    Parts are ranges of ids; the first document of a range also goes to the range before.
+    Parts are ranges of ids with about PART_BYTES of text; the first document of a range also goes to the range before.
     The driver sees one id per range.
     """
     spark = docs.sparkSession
     own = docs.select(id_of(key).alias("doc"), F.col(text).alias("text"))
-    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES + 1)
     cuts = own.agg(F.percentile_approx("doc", [i / parts for i in range(parts)], 100 * parts).alias("q")).first()["q"] or []
     cuts = sorted(set(cuts))
 
@@ -211,7 +263,7 @@ def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
     home = ranged.select("part", F.lit(0).alias("late"), "doc", F.lit(True).alias("home"), "text")
     away = own.withColumn("part", also_to("doc")).where("part is not null")
     away = away.select("part", (F.col("doc") == least).cast("int").alias("late"), "doc", F.lit(False).alias("home"), "text")
-    return home.unionByName(away).repartition("part").sortWithinPartitions("part", "late", "doc", F.xxhash64("text"))
+    return home.unionByName(away).repartition(max(1, len(used)), "part").sortWithinPartitions("part", "late", "doc", F.xxhash64("text"))
 
 
 RESULT = "doc long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
