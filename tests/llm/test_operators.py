@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import samples
 from samples import row
@@ -358,6 +359,31 @@ def test_fingerprints(frame, edge):
     assert alone["near_next"] == 1 and alone["edited_sha256"] == hashlib.sha256(b"ab ab").hexdigest()
 
 
+def test_fingerprints_of_every_row_against_bags_of_segments(frame):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(300)]
+    base = [" ".join(rng.choices(words, k=rng.randint(0, 400))).replace(" w7 ", "\n") for _ in range(12)]
+    texts = {}
+    for i, doc in enumerate(rng.sample(range(10_000), 60)):
+        own = base[i % 12].split(" ")
+        own[rng.randrange(len(own))] = "changed"
+        texts[doc] = " ".join(own) + "\u6f22\u5b57\u4eee\u540d" * rng.choice([0, 0, 40])
+    ids = sorted(texts)
+    found = {r["doc_id"]: r for r in merkle.fingerprints(frame([row(d, t) for d, t in texts.items()])).collect()}
+    assert sorted(found) == ids
+
+    def bag(text):
+        return Counter(next(merkle.trees(pa.array([text], pa.large_string()))).segments.tolist())
+
+    for d, follows in zip(ids, [*ids[1:], ids[0]], strict=True):  # the last is followed by the first
+        r, text, n = found[d], texts[d], len(texts[d])
+        edited = text[: n - n // 2] + texts[follows][: n // 2]
+        assert (r["n_chars"], r["edited_sha256"]) == (n, hashlib.sha256(edited.encode()).hexdigest())
+        for other, near in ((edited, r["near_edited"]), (texts[follows], r["near_next"])):
+            a, b = bag(text), bag(other)
+            assert near == pytest.approx(2 * sum((a & b).values()) / (a.total() + b.total()))
+
+
 # --- substring dedup
 
 
