@@ -114,7 +114,10 @@ class Ingest:
         try:
             reader = self.spark.read if schema is None else self.spark.read.schema(schema)
             return reader.parquet(f"{self.root}/{name}")
-        except AnalysisException:
+        except AnalysisException as error:
+            # Only a table without any file is a fresh start; a damaged one stops the query.
+            if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
             return None
 
     def last(self):
