@@ -157,7 +157,10 @@ def flow_x_open_interest(spark, sf):
     )
 
 
-STRESS_SQL = """shk AS (SELECT r.*, s AS shock_percent, (dep_u+COALESCE(uns,0))*100 + (mark*65536*(100+s)-eq16*100)*lot*sg*f AS eqh FROM risk r JOIN elig e USING (account_id), (SELECT unnest([-20,-10,-5,5,10,20]) AS s) WHERE e.eligible AND is_open AND mark IS NOT NULL)"""
+SHOCKED_SQL = "s AS shock_percent, (dep_u+COALESCE(uns,0))*100 + (mark*65536*(100+s)-eq16*100)*lot*sg*f AS eqh"
+SHOCKS_SQL = "(SELECT unnest([-20,-10,-5,5,10,20]) AS s)"
+STRESS_SQL = f"""shk AS (SELECT r.*, {SHOCKED_SQL} FROM risk r JOIN elig e USING (account_id), {SHOCKS_SQL} WHERE e.eligible AND is_open AND mark IS NOT NULL)"""
+EVERY_STRESS_SQL = f"""shk AS (SELECT r.*, COALESCE(e.eligible,false) AS eligible, {SHOCKED_SQL} FROM risk r LEFT JOIN elig e USING (account_id), {SHOCKS_SQL} WHERE is_open AND mark IS NOT NULL)"""
 
 
 def stressed(spark, sf):
@@ -166,12 +169,15 @@ def stressed(spark, sf):
     return positions(spark, sf).join(good, "account_id", "left_semi")
 
 
-@query("J7_position_x_shock", q.with_book(*q.FULL_RISK, ELIGIBLE_SQL, STRESS_SQL) + f"SELECT {P}, CAST(shock_percent AS BIGINT) AS shock_percent, eqh<=maint_u*100 AS breached, CAST(eqh//{CNS_UNITS * 100} AS BIGINT) AS equity FROM shk")
+@query("J7_position_x_shock", q.with_book(*q.FULL_RISK, ELIGIBLE_SQL, EVERY_STRESS_SQL) + f"SELECT {P}, CAST(shock_percent AS BIGINT) AS shock_percent, eqh<=maint_u*100 AS breached, CAST(eqh//{CNS_UNITS * 100} AS BIGINT) AS equity, eligible FROM shk")
 def position_x_shock(spark, sf):
-    rows = signals.stress_positions(stressed(spark, sf))
+    """Every open priced position; the stress report counts those of ``eligible`` wallets."""
+    accounts = eligibility(spark, sf).select("account_id", "eligible")
+    rows = signals.stress_positions(positions(spark, sf).join(accounts, "account_id", "left"))
     return rows.select(
-        *ident(), *longs("shock_percent"), "breached", trunc_div(F.col("equity_hundredths_u"), CNS_UNITS * 100).cast("long").alias("equity")
-    )
+        *ident(), *longs("shock_percent"), "breached", trunc_div(F.col("equity_hundredths_u"), CNS_UNITS * 100).cast("long").alias("equity"),
+        F.coalesce("eligible", F.lit(False)).alias("eligible"),
+    )
 
 
 @query("G11_stress_report", q.with_book(*q.FULL_RISK, ELIGIBLE_SQL, STRESS_SQL) + f"SELECT CAST(shock_percent AS BIGINT) AS shock_percent, count(*) AS positions_evaluated, count(*) FILTER (WHERE eqh<=maint_u*100) AS breached, CAST(COALESCE(SUM(CASE WHEN eqh<=maint_u*100 THEN dep_u END),0)//{CNS_UNITS} AS BIGINT) AS breached_collateral, count(*) FILTER (WHERE eqh<=maint_u*100 AND uns IS NULL) AS conditional_breaches FROM shk GROUP BY 1")
